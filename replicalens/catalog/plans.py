@@ -1 +1,370 @@
+"""Registered queries of the planners: exact twins where SQL can state the plan, else its invariants."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from replicalens.catalog.adapter_sql import add_adapters
+from replicalens.catalog.aggregates import meta_after, moves
+from replicalens.catalog.base import query
+from replicalens.catalog.filters import merged, state
+from replicalens.functions.arrays import render, set_replication, to_partition_map
+from replicalens.operators import aggregates as A
+from replicalens.plans import affinity, constraints, leadership, maps, placement, relocation, repair
+from replicalens.schemas import PARTITION_KEY
+from replicalens.session import materialize
+
+add_adapters({
+    # Planning state: brokers that are not live are missing, every eleventh is being replaced.
+    "fx_plan_state": """
+select cluster_id, broker_id, rack, coalesce(u.used, 0) as used, storage_free * 100000 as storage_free,
+       is_live = 0 or broker_id % 11 = 4 as is_replace, is_live = 0 as is_missing, broker_id % 8 = 6 as is_new
+from fx_broker_meta left join (select cluster_id, broker_id, count(*) as used from fx_replicas group by all) u using (cluster_id, broker_id)""",
+})
+
+
+def plan_state(t):
+    used = t.replicas.groupBy("cluster_id", "broker_id").agg(F.count(F.lit(1)).alias("used"))
+    b = F.col("broker_id")
+    return t.broker_meta.join(used, ["cluster_id", "broker_id"], "left").select(
+        "cluster_id", "broker_id", "rack", F.coalesce("used", F.lit(0)).alias("used"),
+        (F.col("storage_free") * 100000).alias("storage_free"), ((F.col("is_live") == 0) | (b % 11 == 4)).alias("is_replace"),
+        (F.col("is_live") == 0).alias("is_missing"), (b % 8 == 6).alias("is_new"))
+
+
+def placement_sql(rf: int, z: str, cap: str) -> str:
+    before = "rows between unbounded preceding and 1 preceding"
+    return f"""
+with p as (select cluster_id, topic, partition_id, {z} as z, md5(concat(topic, ':', partition_id)) as h from fx_partition_size),
+l as (select *, coalesce(sum(z) over (partition by cluster_id order by h, topic, partition_id {before}), 0) as at,
+        row_number() over (partition by cluster_id order by h, topic, partition_id) - 1 as ordinal,
+        sum(z) over (partition by cluster_id) as zt from p),
+b as (select cluster_id, broker_id, greatest({cap}, 1) as c, md5(cast(broker_id as varchar)) as bh,
+        case when rack = '' then concat('#', broker_id) else rack end as grp from fx_broker_meta),
+pg as (select cluster_id, grp, sum(c) as cg from b group by all),
+ct as (select cluster_id, sum(cg) as ct from pg group by all),
+big as (select *, row_number() over (partition by cluster_id order by cg desc, grp) as rn,
+        coalesce(sum(cg) over (partition by cluster_id order by cg desc, grp {before}), 0) as bef from pg),
+cut as (select cluster_id, grp, rn, cg from (
+        select big.*, min(case when cg * ({rf} + 1 - rn) > ct - bef then 1 else 0 end) over (partition by cluster_id order by rn) as f
+        from big join ct using (cluster_id) where rn <= {rf}) x where f = 1),
+base as (select ct.cluster_id, count(cut.grp) as m, any_value(ct.ct) - coalesce(sum(cut.cg), 0) as fc from ct left join cut using (cluster_id) group by ct.cluster_id),
+zt as (select distinct cluster_id, zt from l),
+seg as (
+  select cluster_id, broker_id, 2 * zt * (rn - 1) + (2 * zt * cum) // cg as s, 2 * zt * (rn - 1) + (2 * zt * (cum + c)) // cg as e
+  from (select b.*, cut.rn, cut.cg, coalesce(sum(c) over (partition by cluster_id, grp order by bh, broker_id {before}), 0) as cum
+        from b join cut using (cluster_id, grp)) q join zt using (cluster_id)
+  union all
+  select cluster_id, broker_id, 2 * zt * m + (2 * zt * ({rf} - m) * cum) // fc, 2 * zt * m + (2 * zt * ({rf} - m) * (cum + c)) // fc
+  from (select b.*, coalesce(sum(c) over (partition by cluster_id order by grp, bh, broker_id {before}), 0) as cum
+        from b anti join cut using (cluster_id, grp)) q join base using (cluster_id) join zt using (cluster_id)),
+slots as (select cluster_id, topic, partition_id, ordinal, k, 2 * at + 2 * k * zt + z as pos from l, (select unnest(range(0, {rf})) as k) ks)
+select cluster_id, topic, partition_id, cast((k + ordinal) % {rf} as int) as idx, broker_id
+from slots join seg using (cluster_id) where pos >= s and pos < e"""
+
+
+@query("pln01_place_by_count", placement_sql(3, "1", "1"))
+def _(t):
+    placed, _errors = placement.place(t.partition_size, t.broker_meta, 3, strategy="count")
+    return placed
+
+
+@query("pln01_place_by_storage", placement_sql(4, "size_bytes", "storage_free"))
+def _(t):
+    # With four replicas the largest racks exceed their share, so the capped case is exercised.
+    placed, _errors = placement.place(t.partition_size, t.broker_meta, 4, strategy="storage", optimization="storage")
+    return placed
+
+
+@query("pln01_placement_errors", """
+select cluster_id, count(*) as errors from fx_partition_size
+where (select count(distinct case when rack = '' then concat('#', broker_id) else rack end) from fx_broker_meta) < 40 group by cluster_id""")
+def _(t):
+    _placed, errors = placement.place(t.partition_size, t.broker_meta, 40, strategy="count")
+    return errors.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("errors"))
+
+
+REPAIR_SQL = """
+with s as (select r.cluster_id, r.topic, r.partition_id, r.idx, r.broker_id, st.rack, st.is_replace as open
+  from fx_replicas r join fx_plan_state st using (cluster_id, broker_id)),
+c as (select cluster_id, count(distinct case when rack <> '' then rack end) as racks, count(case when rack = '' then 1 end) as unracked, count(*) as brokers
+  from fx_plan_state where not is_replace group by cluster_id),
+p as (select cluster_id, topic, partition_id, count(*) as n, count(case when open then 1 end) as n_open,
+  count(distinct case when not open and rack <> '' then rack end) as used_racks, count(case when not open and rack = '' then 1 end) as used_unracked
+  from s group by cluster_id, topic, partition_id)
+select p.cluster_id, count(*) as partitions, cast(sum(n) as bigint) as slots, cast(sum(n_open) as bigint) as open_slots,
+  cast(sum({errors}) as bigint) as errors, 0::bigint as repeated_brokers, {clashes} as rack_clashes, 0::bigint as moved_good
+from p join c using (cluster_id) group by p.cluster_id"""
+
+
+def repair_summary(t, rows, errors, min_racks):
+    """What repair promises, counted over the whole map."""
+    st = plan_state(t).select("cluster_id", "broker_id", "rack", "is_replace")
+    rows = materialize(rows, "repaired")
+    old = t.replicas.join(st, ["cluster_id", "broker_id"]).select(
+        *PARTITION_KEY, "idx", F.col("broker_id").alias("old"), F.col("is_replace").alias("open"))
+    j = old.join(rows, [*PARTITION_KEY, "idx"], "left").join(st.select("cluster_id", "broker_id", "rack"), ["cluster_id", "broker_id"], "left")
+    new_rack = F.when(F.col("open") & (F.col("rack") != ""), F.col("rack"))
+    any_rack = F.when(F.col("rack") != "", F.col("rack"))
+    kept_rack = F.when(~F.col("open") & (F.col("rack") != ""), F.col("rack"))
+    per = j.groupBy(*PARTITION_KEY).agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("open"), 1)).alias("n_open"),
+        (F.count("broker_id") - F.size(F.collect_set("broker_id"))).alias("rep"),
+        F.count(F.when(~F.col("open") & ~F.col("old").eqNullSafe(F.col("broker_id")), 1)).alias("moved"),
+        (F.count(new_rack) - F.size(F.array_except(F.collect_set(new_rack), F.collect_set(kept_rack)))).alias("clash"),
+        F.size(F.collect_set(any_rack)).alias("racks"))
+    clash = F.sum("clash") if min_racks == 0 else F.count(F.when((F.col("clash") > 0) & (F.col("racks") < min_racks), 1))
+    out = per.groupBy("cluster_id").agg(
+        F.count(F.lit(1)).alias("partitions"), F.sum("n").alias("slots"), F.sum("n_open").alias("open_slots"),
+        F.sum("rep").cast("bigint").alias("repeated_brokers"), clash.cast("bigint").alias("rack_clashes"), F.sum("moved").alias("moved_good"))
+    failed = errors.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("errors"))
+    return out.join(failed, "cluster_id", "left").withColumn("errors", F.coalesce("errors", F.lit(0)))
+
+
+@query("pln02_repair_invariants", REPAIR_SQL.format(
+    errors="greatest(0, n_open - (racks - used_racks) - (unracked - used_unracked))", clashes="0::bigint"))
+def _(t):
+    rows, errors = repair.repair(t.partition_map, plan_state(t))
+    return repair_summary(t, rows, errors, 0)
+
+
+@query("pln02_repair_min_racks_invariants", REPAIR_SQL.format(errors="greatest(0, n - brokers)", clashes="0::bigint"))
+def _(t):
+    rows, errors = repair.repair(t.partition_map, plan_state(t), min_racks=2)
+    return repair_summary(t, rows, errors, 2)
+
+
+@query("pln02_repair_placement")
+def _(t):
+    rows, _errors = repair.repair(t.partition_map, plan_state(t), strategy="storage", sizes=t.partition_size)
+    return rows
+
+
+@query("pln03_constraint", """
+with r as (select f.*, m.rack from fx_replicas f join fx_broker_meta m using (cluster_id, broker_id)),
+s as (select cluster_id, topic, partition_id, list(broker_id) as ids, list(distinct rack) filter (rack <> '') as racks from r group by all),
+c as (select s.*, m.broker_id as cand, m.rack, m.storage_free from s join fx_broker_meta m on m.cluster_id = s.cluster_id
+  and m.broker_id = s.partition_id % (select count(*) from supplier))
+select cluster_id, topic, partition_id, cand,
+  not list_contains(ids, cand) and (rack = '' or not list_contains(coalesce(racks, []), rack)) and storage_free >= 500000 as strict,
+  not list_contains(ids, cand) and (rack = '' or not list_contains(coalesce(racks, []), rack) or len(racks) >= 2) and storage_free >= 500000 as min_two
+from c""")
+def _(t):
+    m = t.broker_meta.select("cluster_id", "broker_id", "rack", "storage_free")
+    sets = t.replicas.join(m, ["cluster_id", "broker_id"]).groupBy(*PARTITION_KEY).agg(
+        F.collect_list("broker_id").alias("ids"), F.collect_list("rack").alias("racks"))
+    c = sets.withColumn("cand", F.col("partition_id") % t.supplier_count).join(
+        m.withColumnRenamed("broker_id", "cand"), ["cluster_id", "cand"])
+    ok = lambda n: constraints.passes(F.col("cand"), F.col("rack"), F.col("storage_free"), F.col("ids"), F.col("racks"),
+                                      request=F.lit(500000), min_racks=n)
+    return c.select(*PARTITION_KEY, "cand", ok(0).alias("strict"), ok(2).alias("min_two"))
+
+
+@query("pln04_substitution", """
+with o as (select cluster_id, broker_id, rack, row_number() over (partition by cluster_id, rack order by broker_id) as n from fx_broker_meta where broker_id % 10 = 3),
+f as (select cluster_id, broker_id + 1000000 as sub, rack, row_number() over (partition by cluster_id, rack order by broker_id) as n
+  from fx_broker_meta where broker_id % 10 in (4, 6))
+select cluster_id, broker_id, sub as substitute_id, case when sub is null then 'no free broker in the rack' end as reason
+from o left join f using (cluster_id, rack, n)""")
+def _(t):
+    m = t.broker_meta.select("cluster_id", "broker_id", "rack")
+    fresh = m.filter("broker_id % 10 in (4, 6)").withColumn("broker_id", F.col("broker_id") + 1000000).withColumn("is_new", F.lit(True))
+    s = m.withColumn("is_new", F.lit(False)).unionByName(fresh).withColumns(
+        {"is_replace": F.col("broker_id") % 10 == 3, "is_missing": F.lit(False)})
+    s = s.withColumn("is_replace", F.col("is_replace") & ~F.col("is_new"))
+    pairs, errors = affinity.substitution_affinities(s, t.replicas)
+    return pairs.select("cluster_id", "broker_id", "substitute_id", F.lit(None).cast("string").alias("reason")).unionByName(
+        errors.select("cluster_id", "broker_id", F.lit(None).cast("bigint").alias("substitute_id"), "reason"))
+
+
+@query("pln05_leadership_invariants", """
+select cluster_id, count(*) as partitions, 0::bigint as changed_sets, true as no_wider from fx_map group by cluster_id""")
+def _(t):
+    before = materialize(t.partition_map, "leadership-input")
+    after = leadership.balance_leaders(before)
+    after = materialize(after, "leadership-output")
+    sets = before.join(after.withColumnRenamed("replicas", "new"), PARTITION_KEY, "left").groupBy("cluster_id").agg(
+        F.count(F.lit(1)).alias("partitions"),
+        F.count(F.when(~F.array_sort("replicas").eqNullSafe(F.array_sort("new")), 1)).alias("changed_sets"))
+    a = leadership.leader_spread(after).withColumnRenamed("spread", "a")
+    b = leadership.leader_spread(before).withColumnRenamed("spread", "b")
+    return sets.join(a.join(b, "cluster_id"), "cluster_id").select(
+        "cluster_id", "partitions", "changed_sets", (F.col("a") <= F.col("b")).alias("no_wider"))
+
+
+@query("pln06_rotated_lists", """
+select cluster_id, topic, partition_id, string_agg(broker_id, ',' order by (idx + partition_id) % n) as replicas
+from (select *, count(*) over (partition by cluster_id, topic, partition_id) as n from fx_replicas) x group by cluster_id, topic, partition_id""")
+def _(t):
+    from pyspark.sql import Window
+
+    n = F.count(F.lit(1)).over(Window.partitionBy(*PARTITION_KEY))
+    r = t.replicas.withColumns({"n": n, "ordinal": F.col("partition_id")})
+    return maps.rotate_replicas(r, "ordinal", "n").withColumn("replicas", render(F.col("replicas")))
+
+
+def move_summary(t, st, mv, scores):
+    """What a relocation plan promises, counted per cluster over all tolerances."""
+    mv = materialize(mv, "planned-moves")
+    sc = materialize(scores, "planned-scores")
+    s = st.select("cluster_id", "broker_id", "rack")
+    hosts = t.replicas.join(s, ["cluster_id", "broker_id"]).groupBy(*PARTITION_KEY).agg(
+        F.collect_list("broker_id").alias("ids"), F.collect_list(F.struct("broker_id", "rack")).alias("rs"))
+    d = mv.join(s.withColumnsRenamed({"broker_id": "dst", "rack": "dst_rack"}), ["cluster_id", "dst"]).join(hosts, PARTITION_KEY)
+    other = F.exists("rs", lambda x: (x["broker_id"] != F.col("src")) & (x["rack"] != "") & (x["rack"] == F.col("dst_rack")))
+    bad = d.groupBy("cluster_id").agg(
+        F.count(F.when(F.array_contains("ids", F.col("dst")), 1)).alias("repeated_brokers"), F.count(F.when(other, 1)).alias("rack_clashes"),
+        F.count(F.when(~F.array_contains("ids", F.col("src")), 1)).alias("foreign_sources"))
+    dst = mv.select("cluster_id", "tolerance", F.col("dst").alias("b")).distinct()
+    src = mv.select("cluster_id", "tolerance", F.col("src").alias("b")).distinct()
+    both = dst.join(src, ["cluster_id", "tolerance", "b"]).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("both_roles"))
+    start = A.storage_stats(st).select("cluster_id", F.col("storage_range").alias("start"))
+    out = sc.join(start, "cluster_id").groupBy("cluster_id").agg(
+        F.count(F.lit(1)).alias("plans"), (F.max(F.col("storage_range") - F.col("start")) <= 0).alias("never_wider"))
+    return out.join(bad, "cluster_id", "left").join(both, "cluster_id", "left").select(
+        "cluster_id", "plans", "never_wider",
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("repeated_brokers", "rack_clashes", "foreign_sources", "both_roles")])
+
+
+def moves_sql(plans):
+    return f"""
+select cluster_id, {plans}::bigint as plans, true as never_wider, 0::bigint as repeated_brokers, 0::bigint as rack_clashes,
+       0::bigint as foreign_sources, 0::bigint as both_roles from fx_clusters"""
+
+
+def storage_state(t, factor=1000):
+    return plan_state(t).withColumn("storage_free", F.expr(f"storage_free div 100000 * {factor}"))
+
+
+@query("pln07_relocation_invariants", moves_sql(1))
+def _(t):
+    st = materialize(storage_state(t), "relocation-state")
+    src = maps.offload_targets(st, threshold=0.1)
+    mv, sc = relocation.plan_relocations(t.replicas, t.partition_size, st, src, tolerances=[0.3], min_bytes=4 << 20)
+    return move_summary(t, st, mv, sc)
+
+
+@query("pln07_relocation_plan")
+def _(t):
+    st = materialize(storage_state(t), "relocation-state")
+    src = maps.offload_targets(st, threshold=0.1)
+    mv, _sc = relocation.plan_relocations(t.replicas, t.partition_size, st, src, tolerances=[0.3], min_bytes=4 << 20)
+    return mv
+
+
+@query("pln08_tolerance_sweep_invariants", moves_sql(98))
+def _(t):
+    st = materialize(storage_state(t), "relocation-state")
+    src = maps.offload_targets(st, threshold=0.1)
+    mv, sc = relocation.plan_relocations(t.replicas, t.partition_size, st, src, min_bytes=4 << 20)
+    return move_summary(t, st, mv, sc)
+
+
+@query("pln09_offload_targets", """
+with h as (select cluster_id, count(*) / sum(1 / storage_free::double) as h from fx_plan_state where storage_free > 0 group by cluster_id)
+select 'fixed' as mode, cluster_id, broker_id from fx_plan_state where not is_new and storage_free < 50 * 1073741824::bigint
+union all select 'below_hmean', s.cluster_id, broker_id from fx_plan_state s join h using (cluster_id) where (h - storage_free) / h > 0.2
+union all select 'all', cluster_id, broker_id from fx_plan_state where not is_new""")
+def _(t):
+    s = plan_state(t)
+    pick = lambda df, mode: df.select(F.lit(mode).alias("mode"), "cluster_id", "broker_id")
+    return (pick(maps.offload_targets(s, threshold_gib=50.0), "fixed")
+            .unionByName(pick(maps.offload_targets(s, threshold=0.2), "below_hmean"))
+            .unionByName(pick(maps.offload_targets(s), "all")))
+
+
+@query("pln10_scale_out_invariants", moves_sql(1))
+def _(t):
+    st = materialize(storage_state(t), "relocation-state")
+    mv, sc = relocation.plan_relocations(t.replicas, t.partition_size, st, maps.offload_targets(st), tolerances=[0.5], min_bytes=4 << 20)
+    return move_summary(t, st, mv, sc)
+
+
+@query("pln10_scale_validation", """
+select cluster_id, case when missing + old_missing + replace > 0 then 'reassignment only allows broker additions'
+  when new = 0 then 'reassignment requires additional brokers' end as reason from fx_status where missing + old_missing + replace > 0 or new = 0""")
+def _(t):
+    return relocation.scale_errors(A.broker_status(merged(t)))
+
+
+@query("pln11_apply_moves", "select cluster_id, topic, partition_id, idx, broker_id from fx_replicas_after")
+def _(t):
+    return maps.apply_moves(t.replicas, moves(t))
+
+
+CHUNK_SQL = """
+with k as (select cluster_id, broker_id, (row_number() over (partition by cluster_id order by broker_id desc) - 1) // 7 as chunk from fx_broker_meta),
+s as (select b.cluster_id, b.topic, b.partition_id, b.idx, b.broker_id, a.broker_id as final, k.chunk
+  from fx_replicas b join fx_replicas_after a using (cluster_id, topic, partition_id, idx) join k on k.cluster_id = b.cluster_id and k.broker_id = b.broker_id)"""
+
+
+@query("pln12_chunk_changes", CHUNK_SQL + """
+select s.cluster_id, s.topic, s.partition_id, x.at as chunk, idx, case when s.chunk <= x.at then final else broker_id end as broker_id
+from s join (select distinct cluster_id, topic, partition_id, chunk as at from s where broker_id <> final) x using (cluster_id, topic, partition_id)""")
+def _(t):
+    return maps.chunk_changes(t.replicas, t.replicas_after, t.broker_meta, 7)
+
+
+@query("pln12_chunked_maps", CHUNK_SQL.replace("// 7", "// (select greatest(1, count(*) // 3) from supplier)") + """
+select s.cluster_id, s.topic, s.partition_id, x.at as chunk, idx, case when s.chunk <= x.at then final else broker_id end as broker_id
+from s join (select distinct cluster_id, chunk as at from s where broker_id <> final) x using (cluster_id)""")
+def _(t):
+    step = max(1, t.table("supplier").count() // 3)
+    return maps.chunked_maps(t.replicas, t.replicas_after, t.broker_meta, step)
+
+
+@query("pln13_phased_map", """
+select cluster_id, topic, partition_id, array_to_string(case when list_contains(a.replicas, b.replicas[1]) then a.replicas else [b.replicas[1]] || a.replicas end, ',') as replicas
+from fx_map_after a join fx_map b using (cluster_id, topic, partition_id)""")
+def _(t):
+    return maps.phased_map(t.partition_map, t.partition_map_after).withColumn("replicas", render(F.col("replicas")))
+
+
+@query("pln14_evacuate_leadership", """
+with m as (select *, list_filter(replicas, lambda b: b > 4)[1] as n, topic in ('t1', 't3') and replicas[1] <= 4 as due from fx_map)
+select 'map' as kind, cluster_id, topic, partition_id, array_to_string(case when due and n is not null
+   then list_transform(replicas, lambda b, i: case when i = 1 then n when b = n then replicas[1] else b end) else replicas end, ',') as replicas from m
+union all select 'error', cluster_id, topic, partition_id, null from m where due and n is null""")
+def _(t):
+    out, bad = maps.evacuate_leadership(t.partition_map, [0, 1, 2, 3, 4], ["t1", "t3"])
+    return out.select(F.lit("map").alias("kind"), *PARTITION_KEY, render(F.col("replicas")).alias("replicas")).unionByName(
+        bad.withColumn("kind", F.lit("error")), allowMissingColumns=True)
+
+
+@query("pln15_validate_plan", """
+with h as (select r.cluster_id, r.topic, r.partition_id, r.broker_id, m.rack from fx_replicas_after r join fx_broker_meta m using (cluster_id, broker_id)),
+g as (select cluster_id, topic, partition_id, count(case when rack <> '' then 1 end) as n, count(distinct case when rack <> '' then rack end) as racks from h group by all)
+select cluster_id, 'zero_replicas' as kind, topic, partition_id, null::bigint as broker_id, null as detail from fx_map_after where partition_id % 100 = 1
+union all select cluster_id, 'duplicate_broker', topic, partition_id, null, null from fx_map_after where partition_id % 100 = 2
+union all select cluster_id, 'rack_violation', topic, partition_id, null, cast(racks as varchar) from g where partition_id % 100 <> 1 and racks < n
+union all select distinct cluster_id, 'missing_rack', null, null::bigint, broker_id, null from h where rack = '' and partition_id % 100 <> 1
+union all select cluster_id, 'storage_overflow', null, null, broker_id, cast(storage_free as varchar) from fx_meta_after where storage_free < 0
+union all select cluster_id, 'range_increase', null, null, null, cast(a - b as varchar) from
+  (select cluster_id, greatest(max(storage_free), 0) - min(storage_free) as a from fx_meta_after group by cluster_id) x join
+  (select cluster_id, greatest(max(storage_free), 0) - min(storage_free) as b from fx_broker_meta group by cluster_id) y using (cluster_id) where a > b""")
+def _(t):
+    r, p = F.col("replicas"), F.col("partition_id") % 100
+    spoiled = t.partition_map_after.withColumn(
+        "replicas", F.when(p == 1, F.slice(r, 1, 0)).when(p == 2, F.concat(r, F.slice(r, 1, 1))).otherwise(r))
+    return maps.validate_plan(spoiled, t.broker_meta, t.broker_meta, meta_after(t))
+
+
+@query("udf01_predicates", """
+with h as (select cluster_id, avg(case when storage_free > 0 then storage_free end) as m from fx_state group by cluster_id)
+select s.cluster_id, s.broker_id from fx_state s join h using (cluster_id) where not is_replace and (storage_free - m) / m > 0.1""")
+def _(t):
+    from replicalens.operators.filters import filter_brokers, storage_means
+
+    # A predicate is any callable from the state to a Column; this one closes over the cluster mean.
+    s = state(t)
+    s = s.join(storage_means(s).select("cluster_id", "mean"), "cluster_id")
+    above = lambda df: ~F.col("is_replace") & ((F.col("storage_free") - F.col("mean")) / F.col("mean") > 0.1)
+    return filter_brokers(s, above).select("cluster_id", "broker_id")
+
+
+@query("udf02_options", """
+select cluster_id, topic, partition_id, array_to_string(list_transform(range(1, 6), lambda i: coalesce(cast(replicas[i] as varchar), '-')), ',') as replicas from fx_map""")
+def _(t):
+    # Construction options are keyword parameters: here a replication factor applied while building a map.
+    wide = to_partition_map(t.replicas)
+    return wide.select(*PARTITION_KEY, render(set_replication(F.col("replicas"), 5)).alias("replicas"))
