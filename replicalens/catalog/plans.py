@@ -36,7 +36,7 @@ def placement_sql(rf: int, z: str, cap: str) -> str:
     before = "rows between unbounded preceding and 1 preceding"
     return f"""
 with p as (select cluster_id, topic, partition_id, {z} as z, md5(concat(topic, ':', partition_id)) as h from fx_partition_size),
-l as (select *, coalesce(sum(z) over (partition by cluster_id order by h, topic, partition_id {before}), 0) as at,
+l as (select *, coalesce(sum(z) over (partition by cluster_id order by h, topic, partition_id {before}), 0) as off,
         row_number() over (partition by cluster_id order by h, topic, partition_id) - 1 as ordinal,
         sum(z) over (partition by cluster_id) as zt from p),
 b as (select cluster_id, broker_id, greatest({cap}, 1) as c, md5(cast(broker_id as varchar)) as bh,
@@ -58,7 +58,7 @@ seg as (
   select cluster_id, broker_id, 2 * zt * m + (2 * zt * ({rf} - m) * cum) // fc, 2 * zt * m + (2 * zt * ({rf} - m) * (cum + c)) // fc
   from (select b.*, coalesce(sum(c) over (partition by cluster_id order by grp, bh, broker_id {before}), 0) as cum
         from b anti join cut using (cluster_id, grp)) q join base using (cluster_id) join zt using (cluster_id)),
-slots as (select cluster_id, topic, partition_id, ordinal, k, 2 * at + 2 * k * zt + z as pos from l, (select unnest(range(0, {rf})) as k) ks)
+slots as (select cluster_id, topic, partition_id, ordinal, k, 2 * off + 2 * k * zt + z as pos from l, (select unnest(range(0, {rf})) as k) ks)
 select cluster_id, topic, partition_id, cast((k + ordinal) % {rf} as int) as idx, broker_id
 from slots join seg using (cluster_id) where pos >= s and pos < e"""
 

@@ -16,7 +16,8 @@ def make_session() -> SparkSession:
     spark = (
         SparkSession.builder.master("local[8]").appName("replicalens-tests")
         .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g")
-        .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.ui.enabled", "false").config("spark.python.sql.dataFrameDebugging.enabled", "false")
+       .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
