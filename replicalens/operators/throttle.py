@@ -67,7 +67,7 @@ def next_rate(previous: float, util: float, capacity: float, share: float, minim
     on the rate applied before it."""
     other, over = max(util - previous, 0.0), max(util - capacity, 0.0)
     rate = max((capacity - other - over) * (share / 100), minimum)
-    return rate, previous == 0 or abs((previous - rate) / previous * 100) >= threshold
+    return float(rate), previous == 0 or abs((previous - rate) / previous * 100) >= threshold
 
 
 APPLIED_SCHEMA = "cluster_id string, broker_id bigint, role string, tick timestamp, rate double, applied boolean, current double"
