@@ -40,7 +40,7 @@ l as (select *, coalesce(sum(z) over (partition by cluster_id order by h, topic,
         row_number() over (partition by cluster_id order by h, topic, partition_id) - 1 as ordinal,
         sum(z) over (partition by cluster_id) as zt from p),
 b as (select cluster_id, broker_id, greatest({cap}, 1) as c, md5(cast(broker_id as varchar)) as bh,
-        case when rack = '' then concat('#', broker_id) else rack end as grp from fx_broker_meta),
+        case when rack = '' then concat('#', broker_id) else rack end as grp, rack as lane from fx_broker_meta),
 pg as (select cluster_id, grp, sum(c) as cg from b group by all),
 ct as (select cluster_id, sum(cg) as ct from pg group by all),
 big as (select *, row_number() over (partition by cluster_id order by cg desc, grp) as rn,
@@ -56,7 +56,7 @@ seg as (
         from b join cut using (cluster_id, grp)) q join zt using (cluster_id)
   union all
   select cluster_id, broker_id, 2 * zt * m + (2 * zt * ({rf} - m) * cum) // fc, 2 * zt * m + (2 * zt * ({rf} - m) * (cum + c)) // fc
-  from (select b.*, coalesce(sum(c) over (partition by cluster_id order by grp, bh, broker_id {before}), 0) as cum
+  from (select b.*, coalesce(sum(c) over (partition by cluster_id order by lane, bh, broker_id {before}), 0) as cum
         from b anti join cut using (cluster_id, grp)) q join base using (cluster_id) join zt using (cluster_id)),
 slots as (select cluster_id, topic, partition_id, ordinal, k, 2 * off + 2 * k * zt + z as pos from l, (select unnest(range(0, {rf})) as k) ks)
 select cluster_id, topic, partition_id, cast((k + ordinal) % {rf} as int) as idx, broker_id

@@ -9,7 +9,7 @@ from replicalens.schemas import PARTITION_KEY
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.exceptAll(b).distinct() if a.columns != b.columns else a.join(b, a.columns, "left_anti").distinct()
+    return a.subtract(b)
 
 
 def union_of(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -100,27 +100,31 @@ def validate_plan(partition_map: DataFrame, brokers: DataFrame, free_before: Dat
     Kinds: zero_replicas, duplicate_broker, rack_violation (shared rack, or fewer than ``min_racks``
     racks when given), missing_rack, storage_overflow, range_increase.
     """
-    def out(df, kind, topic=None, part=None, broker=None, detail=None):
+    def out(df, kind, broker=None, detail=None):
         return df.select(
-            "cluster_id", F.lit(kind).alias("kind"), (F.col(topic) if topic else F.lit(None).cast("string")).alias("topic"),
-            (F.col(part) if part else F.lit(None).cast("bigint")).alias("partition_id"),
+            "cluster_id", F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("topic"),
+            F.lit(None).cast("bigint").alias("partition_id"),
             (F.col(broker) if broker else F.lit(None).cast("bigint")).alias("broker_id"),
             (detail if detail is not None else F.lit(None)).cast("string").alias("detail"))
 
+    def found_if(condition, kind, detail=None):
+        return F.when(condition, F.struct(F.lit(kind).alias("kind"), (detail if detail is not None else F.lit(None)).cast("string").alias("detail")))
+
+    # One pass over the map: every partition's racks are gathered once and all its violations come from that row.
     r = F.col("replicas")
-    empty = partition_map.filter(F.size("replicas") <= 0)
-    doubled = partition_map.filter(F.size(F.array_distinct(r)) < F.size(r))
-    held = partition_map.select(*PARTITION_KEY, F.explode(F.array_distinct(r)).alias("broker_id")).join(
-        brokers.select(*BROKER_KEY, "rack"), BROKER_KEY)
-    racks = held.filter("rack <> ''").groupBy(*PARTITION_KEY).agg(
-        F.count(F.lit(1)).alias("n"), F.size(F.collect_set("rack")).alias("racks"))
-    clash = racks.filter(F.col("racks") < F.least(F.col("n"), F.lit(min_racks)) if min_racks > 0
-                         else F.col("racks") < F.col("n"))
+    held = partition_map.select(
+        *PARTITION_KEY, F.size(r).alias("size"), F.size(F.array_distinct(r)).alias("members"),
+        F.explode_outer(F.array_distinct(r)).alias("broker_id")).join(brokers.select(*BROKER_KEY, "rack"), BROKER_KEY, "left")
+    per = held.groupBy(*PARTITION_KEY).agg(
+        F.max("size").alias("size"), F.max("members").alias("members"), F.count(F.when(F.col("rack") != "", 1)).alias("n"),
+        F.size(F.collect_set(F.when(F.col("rack") != "", F.col("rack")))).alias("racks"))
+    enough = F.least(F.col("n"), F.lit(min_racks)) if min_racks > 0 else F.col("n")
+    kinds = F.filter(F.array(found_if(F.col("size") <= 0, "zero_replicas"), found_if(F.col("members") < F.col("size"), "duplicate_broker"),
+                             found_if(F.col("racks") < enough, "rack_violation", F.col("racks"))), lambda x: x.isNotNull())
+    partitions = per.select(*PARTITION_KEY, F.explode(kinds).alias("v")).select(
+        "cluster_id", "v.kind", "topic", "partition_id", F.lit(None).cast("bigint").alias("broker_id"), "v.detail")
     unracked = held.filter("rack = ''").select(*BROKER_KEY).distinct()
-    found = [out(empty, "zero_replicas", "topic", "partition_id"),
-             out(doubled, "duplicate_broker", "topic", "partition_id"),
-             out(clash, "rack_violation", "topic", "partition_id", detail=F.col("racks")),
-             out(unracked, "missing_rack", broker="broker_id")]
+    found = [partitions, out(unracked, "missing_rack", broker="broker_id")]
     if free_after is not None:
         found.append(out(free_after.filter("storage_free < 0"), "storage_overflow", broker="broker_id", detail=F.col("storage_free")))
         if free_before is not None:

@@ -43,7 +43,11 @@ def broker_groups(brokers: DataFrame, rf: int, min_racks: int) -> DataFrame:
     apart = F.col("groups") >= rf
     reuse = (F.lit(min_racks) > 0) & (F.col("brokers") >= rf) & (F.coalesce("racks", F.lit(0)) >= min_racks)
     f = f.select("cluster_id", apart.alias("apart"), (apart | reuse).alias("feasible"))
-    return b.join(f, "cluster_id").withColumn("grp", F.when(F.col("apart"), F.col("grp")).otherwise(own)).drop("apart")
+    # Single brokers share one lane: only racks must be contiguous on the line, so lanes are as few as racks.
+    single = ~F.col("apart") | (F.col("rack") == "")
+    return b.join(f, "cluster_id").withColumns({
+        "grp": F.when(F.col("apart"), F.col("grp")).otherwise(own),
+        "lane": F.when(single, F.lit("")).otherwise(F.col("rack"))}).drop("apart")
 
 
 def broker_segments(groups: DataFrame, line: DataFrame, rf: int) -> DataFrame:
@@ -72,7 +76,7 @@ def broker_segments(groups: DataFrame, line: DataFrame, rf: int) -> DataFrame:
               .withColumn("h", h).withColumn("hb", hash_bucket(h, 2)))
     placed = materialize(placed, "segments")
     one = prefix_sums(placed.filter("cut_rank is not null"), ["cluster_id", "grp"], ["hb"], ["h", "broker_id"], {"cum": F.col("c")})
-    many = prefix_sums(placed.filter("cut_rank is null"), ["cluster_id"], ["grp", "hb"], ["h", "broker_id"], {"cum": F.col("c")})
+    many = prefix_sums(placed.filter("cut_rank is null"), ["cluster_id"], ["lane", "hb"], ["h", "broker_id"], {"cum": F.col("c")})
     z2 = "cast(2 as decimal(38,0)) * z_total"
     one = one.select("cluster_id", "broker_id", "rack", "width",
                      F.expr(f"2 * z_total * (cut_rank - 1) + ({z2} * cum) div cg").alias("seg_start"),

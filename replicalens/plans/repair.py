@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from replicalens.functions.arrays import to_partition_map
 from replicalens.plans.lines import hash_bucket, locate, prefix_sums
 from replicalens.schemas import PARTITION_KEY
 from replicalens.session import materialize
@@ -22,8 +23,8 @@ def _pools(state: DataFrame, strategy: str, open_slots: DataFrame) -> DataFrame:
     """Candidate brokers with their weight: free storage, or how far they are below the mean use after repair."""
     live = state.filter("not is_replace and not is_missing")
     if strategy == "storage":
-        weight = F.greatest(F.col("storage_free"), F.lit(1)).cast("bigint")
-        return live.select("cluster_id", "broker_id", "rack", weight.alias("w"))
+        room = live.join(open_slots, "cluster_id").filter(F.col("storage_free") >= F.col("least"))
+        return room.select("cluster_id", "broker_id", "rack", F.col("storage_free").cast("bigint").alias("w"))
     mean = live.groupBy("cluster_id").agg(F.sum("used").alias("u"), F.count(F.lit(1)).alias("b")).join(
         open_slots, "cluster_id", "left").select(
         "cluster_id", F.ceil((F.col("u") + F.coalesce("slots", F.lit(0))) / F.col("b")).alias("level"))
@@ -43,13 +44,36 @@ def repair(partition_map: DataFrame, state: DataFrame, *, strategy: str = "count
     """(replica rows of the repaired map, error rows per slot that cannot be filled).
 
     Open slots are null ids, and brokers that are replaced, missing or unknown to ``state``. Storage mode
-    lays slots out by size and keeps, per broker, only what fits its free storage; the rest are error
-    rows, which a further pass over the result can place.
+    lays slots out by size and keeps, per broker, only what fits its free storage; slots turned away are
+    laid out again over what is left, until a pass places none of them.
     """
     if strategy not in ("count", "storage"):
         raise ValueError(f"Invalid rebuild strategy '{strategy}'")
-    if strategy == "storage" and sizes is None:
+    if strategy == "count":
+        kept, new, errors = _pass(partition_map, state, strategy, None, size_factor, min_racks)
+        return kept.unionByName(new), errors
+    if sizes is None:
         raise ValueError("storage placement needs partition sizes")
+    kept, new, errors = _pass(partition_map, state, strategy, sizes, size_factor, min_racks)
+    done = kept.unionByName(new)
+    while not errors.isEmpty():
+        # Only the partitions with turned-away slots go round again, against the storage still free.
+        z = sizes.select(*PARTITION_KEY, F.ceil(F.col("size_bytes") * F.lit(size_factor)).cast("bigint").alias("z"))
+        spent = new.join(z, PARTITION_KEY).groupBy("cluster_id", "broker_id").agg(F.sum("z").alias("spent"))
+        state = materialize(state.join(spent, ["cluster_id", "broker_id"], "left").withColumn(
+            "storage_free", F.col("storage_free") - F.coalesce("spent", F.lit(0))).drop("spent"), "repair-state")
+        again = done.unionByName(errors.select(*PARTITION_KEY, "idx", F.lit(None).cast("bigint").alias("broker_id"))).join(
+            errors.select(*PARTITION_KEY).distinct(), PARTITION_KEY, "left_semi")
+        _kept, new, errors = _pass(to_partition_map(again), state, strategy, sizes, size_factor, min_racks)
+        if new.isEmpty():
+            break
+        done = done.unionByName(new)
+    return done, errors
+
+
+def _pass(partition_map: DataFrame, state: DataFrame, strategy: str, sizes: DataFrame | None, size_factor: float,
+          min_racks: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One placement of all open slots: (kept rows, new rows, slots left open)."""
     good = state.filter("not is_replace and not is_missing").select(
         "cluster_id", F.col("broker_id").alias("b"), F.col("rack").alias("brack"), F.lit(True).alias("keep"))
     slots = partition_map.select(*PARTITION_KEY, F.posexplode("replicas").alias("idx", "b")).join(
@@ -70,8 +94,9 @@ def repair(partition_map: DataFrame, state: DataFrame, *, strategy: str = "count
     else:
         work = work.withColumn("z", F.lit(1).cast("bigint"))
     work = materialize(work.withColumn("h", h).withColumn("hb", hash_bucket(h)), "repair-work")
-    totals = work.groupBy("cluster_id").agg(F.sum(F.size("open")).alias("slots"), F.count(F.lit(1)).alias("n"))
-    pool = materialize(_pools(state, strategy, totals.select("cluster_id", "slots")), "repair-brokers")
+    totals = work.groupBy("cluster_id").agg(
+        F.sum(F.size("open")).alias("slots"), F.count(F.lit(1)).alias("n"), F.min("z").alias("least"))
+    pool = materialize(_pools(state, strategy, totals.select("cluster_id", "slots", "least")), "repair-brokers")
 
     # Rack ring: rank and weight segment of every rack, the unracked brokers being one entry ''.
     racks = _rank_pool(pool.groupBy("cluster_id", "rack").agg(F.sum("w").alias("rw"), F.count(F.lit(1)).alias("members")),
@@ -147,4 +172,4 @@ def repair(partition_map: DataFrame, state: DataFrame, *, strategy: str = "count
         placed = fits.filter(F.col("before") + F.col("z") <= F.col("room"))
     new = materialize(placed.select(*PARTITION_KEY, "idx", "broker_id"), "repair-new")
     errors = want.select(*PARTITION_KEY, "idx").join(new, [*PARTITION_KEY, "idx"], "left_anti").withColumn("error", F.lit(_NO_BROKER))
-    return kept.unionByName(new), errors
+    return kept, new, materialize(errors, "repair-errors")

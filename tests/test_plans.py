@@ -196,3 +196,16 @@ def test_no_feasible_move_gives_an_empty_plan(spark):
     m, z, st = cluster(spark, 9, out=0)
     moves, scores = relocation.plan_relocations(to_replicas(m), z, st, maps.offload_targets(st, threshold=0.1), tolerances=[0.2], min_bytes=10**9)
     assert moves.isEmpty() and scores.first()["round"] == 0
+
+
+def test_repair_goes_round_again_when_storage_runs_short(spark):
+    # One rack-less small broker and two large ones: slots turned away by the small one must land elsewhere.
+    parts = [("c", "t", p, [None, 1]) for p in range(40)]
+    m = spark.createDataFrame(parts, "cluster_id string, topic string, partition_id bigint, replicas array<bigint>")
+    z = spark.createDataFrame([("c", "t", p, 10) for p in range(40)], "cluster_id string, topic string, partition_id bigint, size_bytes bigint")
+    st = spark.createDataFrame([("c", 1, "a", 40, 0, False, False, False), ("c", 2, "", 0, 25, False, False, False),
+                                ("c", 3, "", 0, 200, False, False, False), ("c", 4, "", 0, 205, False, False, False)], STATE)
+    rows, errors = repair.repair(m, st, strategy="storage", sizes=z)
+    assert errors.isEmpty()
+    load = {r.broker_id: r.n for r in rows.groupBy("broker_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert load[1] == 40 and load.get(2, 0) <= 2 and load.get(3, 0) <= 20 and load.get(4, 0) <= 20
