@@ -184,7 +184,7 @@ def _(t):
 select metric, cast(date_trunc('day', ts) as timestamp) as window_start, round(avg(value), 6) as size
 from (select metric, date_trunc('hour', ts) as ts, max(value) as value from fx_metric_points group by all) x group by all""")
 def _(t):
-    p = t.metric_points.withColumn("ts", F.date_trunc("hour", "ts"))
+    p = t.metric_points.withColumn("ts", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
     return A.partition_sizes_from_points(p, ["metric"], "1 day").select(
         "metric", F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.round("size", 6).alias("size"))
 

@@ -33,12 +33,12 @@ from events where event_type = 'purchase' and event_id % 4 = 1""",
 
 
 def ticks_from(events):
-    t = F.window("ts", "6 hours")["start"]
+    t = F.window(F.col("ts").cast("timestamp_ntz"), "6 hours")["start"]
     role = F.when(F.col("event_type").isin("click", "view"), "leader").otherwise("follower")
-    e = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.groupBy((F.col("user_id") % 20).alias("broker_id"), role.alias("role"), t.alias("tick")).agg(
+    return events.groupBy((F.col("user_id") % 20).alias("broker_id"), role.alias("role"), t.alias("tick")).agg(
         (F.sum(F.round(F.col("value") * 100).cast("bigint")).cast("double") / (F.count(F.lit(1)) * 10.0)).alias("util")
-    ).select(F.lit("c1").alias("cluster_id"), "broker_id", "role", "tick", "util", F.lit(300.0).alias("capacity_mb"),
+    ).withColumn("tick", F.col("tick").cast("timestamp")).select(
+        F.lit("c1").alias("cluster_id"), "broker_id", "role", "tick", "util", F.lit(300.0).alias("capacity_mb"),
              ((F.dayofmonth("tick") % 10 == 0) & (F.hour("tick") == 0)).alias("reset"))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,10 @@ from replicalens.operators.filters import active_overrides
 from replicalens.schemas import BROKER_KEY
 
 
+# The fold below travels to executors by value, so they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 @dataclass(frozen=True)
 class Limits:
     """Minimum rate in MB/s and the shares of free capacity, in percent, usable by sources and destinations."""
