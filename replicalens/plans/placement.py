@@ -33,6 +33,7 @@ def broker_groups(brokers: DataFrame, rf: int, min_racks: int) -> DataFrame:
     cannot be placed.
     """
     own = F.concat(F.lit("#"), F.col("broker_id").cast("string"))
+    brokers = brokers.withColumn("rack", F.coalesce("rack", F.lit("")))
     b = brokers.select("cluster_id", "broker_id", "rack", F.greatest(F.col("capacity"), F.lit(1)).cast("bigint").alias("c"),
                        F.when(F.col("rack") == "", own).otherwise(F.col("rack")).alias("grp"))
     n = b.select("cluster_id", "grp").distinct().groupBy("cluster_id").agg(F.count(F.lit(1)).alias("groups"))
@@ -106,6 +107,10 @@ def place(partitions: DataFrame, brokers: DataFrame, rf: int, *, strategy: str =
         F.ceil(F.col("size_bytes") * F.lit(size_factor)), F.lit(1)).cast("bigint")
     cap = F.lit(1).cast("bigint") if strategy == "count" else F.col("storage_free")
     h = F.md5(F.concat_ws(":", "topic", F.col("partition_id").cast("string")))
+    unsized = partitions.filter(F.col("size_bytes").isNull() if strategy == "storage" else F.lit(False)).select(
+        *PARTITION_KEY, F.lit("partition size not found").alias("error"))
+    if strategy == "storage":
+        partitions = partitions.filter("size_bytes is not null")
     parts = materialize(
         partitions.select(*PARTITION_KEY, z.alias("z"), h.alias("h"), hash_bucket(h).alias("hb")), "placement-parts")
     groups = materialize(broker_groups(brokers.withColumn("capacity", cap), rf, min_racks), "placement-groups")
@@ -123,4 +128,4 @@ def place(partitions: DataFrame, brokers: DataFrame, rf: int, *, strategy: str =
     placed = hit.select(*PARTITION_KEY, F.pmod(F.col("k") + F.col("ordinal"), F.lit(rf)).cast("int").alias("idx"), "broker_id")
     errors = parts.join(ok, "cluster_id", "left_anti").select(
         *PARTITION_KEY, F.lit("No additional brokers that meet constraints").alias("error"))
-    return placed, errors
+    return placed, errors.unionByName(unsized)

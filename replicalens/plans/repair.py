@@ -21,7 +21,7 @@ _NO_BROKER = "No additional brokers that meet constraints"
 
 def _pools(state: DataFrame, strategy: str, open_slots: DataFrame) -> DataFrame:
     """Candidate brokers with their weight: free storage, or how far they are below the mean use after repair."""
-    live = state.filter("not is_replace and not is_missing")
+    live = state.filter("not is_replace and not is_missing").withColumn("rack", F.coalesce("rack", F.lit("")))
     if strategy == "storage":
         room = live.join(open_slots, "cluster_id").filter(F.col("storage_free") >= F.col("least"))
         return room.select("cluster_id", "broker_id", "rack", F.col("storage_free").cast("bigint").alias("w"))
@@ -50,13 +50,13 @@ def repair(partition_map: DataFrame, state: DataFrame, *, strategy: str = "count
     if strategy not in ("count", "storage"):
         raise ValueError(f"Invalid rebuild strategy '{strategy}'")
     if strategy == "count":
-        kept, new, errors = _pass(partition_map, state, strategy, None, size_factor, min_racks)
+        kept, new, errors, _away = _pass(partition_map, state, strategy, None, size_factor, min_racks)
         return kept.unionByName(new), errors
     if sizes is None:
         raise ValueError("storage placement needs partition sizes")
-    kept, new, errors = _pass(partition_map, state, strategy, sizes, size_factor, min_racks)
+    kept, new, errors, away = _pass(partition_map, state, strategy, sizes, size_factor, min_racks)
     done = kept.unionByName(new)
-    while not errors.isEmpty():
+    while not away.isEmpty():
         # Only the partitions with turned-away slots go round again, against the storage still free.
         z = sizes.select(*PARTITION_KEY, F.ceil(F.col("size_bytes") * F.lit(size_factor)).cast("bigint").alias("z"))
         spent = new.join(z, PARTITION_KEY).groupBy("cluster_id", "broker_id").agg(F.sum("z").alias("spent"))
@@ -64,7 +64,7 @@ def repair(partition_map: DataFrame, state: DataFrame, *, strategy: str = "count
             "storage_free", F.col("storage_free") - F.coalesce("spent", F.lit(0))).drop("spent"), "repair-state")
         again = done.unionByName(errors.select(*PARTITION_KEY, "idx", F.lit(None).cast("bigint").alias("broker_id"))).join(
             errors.select(*PARTITION_KEY).distinct(), PARTITION_KEY, "left_semi")
-        _kept, new, errors = _pass(to_partition_map(again), state, strategy, sizes, size_factor, min_racks)
+        _kept, new, errors, away = _pass(to_partition_map(again), state, strategy, sizes, size_factor, min_racks)
         if new.isEmpty():
             break
         done = done.unionByName(new)
@@ -72,10 +72,10 @@ def repair(partition_map: DataFrame, state: DataFrame, *, strategy: str = "count
 
 
 def _pass(partition_map: DataFrame, state: DataFrame, strategy: str, sizes: DataFrame | None, size_factor: float,
-          min_racks: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One placement of all open slots: (kept rows, new rows, slots left open)."""
+          min_racks: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """One placement of all open slots: (kept rows, new rows, slots left open, slots turned away for storage)."""
     good = state.filter("not is_replace and not is_missing").select(
-        "cluster_id", F.col("broker_id").alias("b"), F.col("rack").alias("brack"), F.lit(True).alias("keep"))
+        "cluster_id", F.col("broker_id").alias("b"), F.coalesce("rack", F.lit("")).alias("brack"), F.lit(True).alias("keep"))
     slots = partition_map.select(*PARTITION_KEY, F.posexplode("replicas").alias("idx", "b")).join(
         good, ["cluster_id", "b"], "left")
     slots = materialize(slots.withColumn("keep", F.coalesce("keep", F.lit(False))), "repair-slots")
@@ -89,11 +89,15 @@ def _pass(partition_map: DataFrame, state: DataFrame, strategy: str, sizes: Data
         F.array_distinct(F.collect_list(F.when(F.col("keep") & (F.col("brack") != ""), F.col("brack")))).alias("racks"),
         F.count(F.when(F.col("keep") & (F.col("brack") == ""), 1)).alias("unracked")).filter("size(open) > 0")
     if strategy == "storage":
-        work = work.join(sizes.select(*PARTITION_KEY, "size_bytes"), PARTITION_KEY).withColumn(
-            "z", F.greatest(F.ceil(F.col("size_bytes") * F.lit(size_factor)), F.lit(1)).cast("bigint")).drop("size_bytes")
+        z = F.greatest(F.ceil(F.col("size_bytes") * F.lit(size_factor)), F.lit(1)).cast("bigint")
+        work = work.join(sizes.select(*PARTITION_KEY, "size_bytes"), PARTITION_KEY, "left").withColumn(
+            "z", F.when(F.col("size_bytes").isNotNull(), z)).drop("size_bytes")
     else:
         work = work.withColumn("z", F.lit(1).cast("bigint"))
     work = materialize(work.withColumn("h", h).withColumn("hb", hash_bucket(h)), "repair-work")
+    unsized = work.filter("z is null").select(
+        *PARTITION_KEY, F.explode("open").alias("idx"), F.lit("partition size not found").alias("error"))
+    work = work.filter("z is not null")
     totals = work.groupBy("cluster_id").agg(
         F.sum(F.size("open")).alias("slots"), F.count(F.lit(1)).alias("n"), F.min("z").alias("least"))
     pool = materialize(_pools(state, strategy, totals.select("cluster_id", "slots", "least")), "repair-brokers")
@@ -165,11 +169,13 @@ def _pass(partition_map: DataFrame, state: DataFrame, strategy: str, sizes: Data
             .select(*PARTITION_KEY, F.element_at("open", F.col("j")).alias("idx"), "broker_id", F.col("r_rack").alias("rack"), "z", "h", "hb"))
     placed = placed.unionByName(rung)
 
+    away = None
     if strategy == "storage":
         placed = materialize(placed, "repair-placed")
         fits = prefix_sums(placed, ["cluster_id", "broker_id"], ["hb"], ["h", "topic", "partition_id", "idx"], {"before": F.col("z")}).join(
             pool.select("cluster_id", "broker_id", F.col("w").alias("room")), ["cluster_id", "broker_id"])
+        away = fits.filter(F.col("before") + F.col("z") > F.col("room")).select(*PARTITION_KEY, "idx")
         placed = fits.filter(F.col("before") + F.col("z") <= F.col("room"))
     new = materialize(placed.select(*PARTITION_KEY, "idx", "broker_id"), "repair-new")
-    errors = want.select(*PARTITION_KEY, "idx").join(new, [*PARTITION_KEY, "idx"], "left_anti").withColumn("error", F.lit(_NO_BROKER))
-    return kept, new, materialize(errors, "repair-errors")
+    errors = want.select(*PARTITION_KEY, "idx").join(new, [*PARTITION_KEY, "idx"], "left_anti").withColumn("error", F.lit(_NO_BROKER)).unionByName(unsized)
+    return kept, new, materialize(errors, "repair-errors"), away

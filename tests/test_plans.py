@@ -209,3 +209,17 @@ def test_repair_goes_round_again_when_storage_runs_short(spark):
     assert errors.isEmpty()
     load = {r.broker_id: r.n for r in rows.groupBy("broker_id").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert load[1] == 40 and load.get(2, 0) <= 2 and load.get(3, 0) <= 20 and load.get(4, 0) <= 20
+
+
+def test_unknown_sizes_and_racks_are_reported_or_neutral(spark):
+    m, z, st = cluster(spark, 21)
+    st = st.withColumn("rack", F.when(F.col("rack") != "", F.col("rack")))
+    known = z.withColumn("size_bytes", F.when(F.col("partition_id") >= 5, F.col("size_bytes")))
+    placed, errors = placement.place(known, st, 2, strategy="storage")
+    assert placed.select("partition_id").distinct().count() == 295 and errors.count() == 5
+    rows, errors = repair.repair(m, st, strategy="storage", sizes=z.filter("partition_id >= 5"))
+    bad = errors.filter("partition_id < 5").collect()
+    gone = {r.broker_id for r in st.filter("is_replace").collect()}
+    assert len(bad) == sum(b in gone for r in m.filter("partition_id < 5").collect() for b in r.replicas)
+    assert {r.error for r in bad} <= {"partition size not found"}
+    assert rows.count() + errors.count() == 900
