@@ -24,10 +24,11 @@ def _bin(value: float, limits: tuple) -> int:
 
 
 def features(text: str) -> set[str]:
-    """Words (lower case, without marks at their ends) and binned shape ratios of a text."""
+    """Words (lower case, without marks at their ends), their beginnings, and binned shape ratios of a text."""
     words = text.split()
     n = max(1, len(words))
     out = {w.strip(".,;:!?\"'()*$%&#|<>").lower() for w in words}
+    out |= {f"{w[:k]}-" for w in out for k in (4, 5) if len(w) > k + 1}
     lines = [x for x in text.split("\n") if x.strip()]
     ratios = {
         "symbols": sum(map(text.count, "#*$%&|<>")) / n, "shouts": text.count("!") / n, "upper": sum(map(str.isupper, words)) / n,
@@ -65,7 +66,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, turns: int = 25) -> np
 
 
 def fit_evidence(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 400, least_docs: int = 5, least_z: float = 4.0,
-                 ridge: float = 3.0, doc_id: str = "doc_id", text: str = "text") -> dict[str, tuple[float, ...]]:
+                 ridge: float = 0.005, doc_id: str = "doc_id", text: str = "text") -> dict[str, tuple[float, ...]]:
     """Weights (poor, toxic) of features being present, and under the empty name those that all documents get.
 
     Fitted on at most about ``max_rows`` labelled documents, chosen by a hash of doc_id; those rows (three small columns) are the only thing

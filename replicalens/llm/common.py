@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +24,18 @@ def raw(texts: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in texts.cast(kind).to_pylist()]
 
 
+class WordHashes(dict):
+    """XXH64 of words, remembered up to ``limit`` of them."""
+
+    limit = 1_000_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        self[word] = value = xxhash.xxh64_intdigest(word)
+        return value
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes of ``column``, one row at least."""
     for batch in batches:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from replicalens.llm.array_files import load, packed, save, unpacked
-from replicalens.llm.common import raw, slices
+from replicalens.llm.common import WordHashes, raw, slices
 from replicalens.session import materialize, scratch_path
 
 #: Marks of a text's two ends. No word has a space, so they are no words.
@@ -24,15 +24,7 @@ RANGES = 64
 TOKENS = 1_000_000
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_HASHES = _Hashes()
+_HASHES = WordHashes()
 
 
 def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
