@@ -25,7 +25,7 @@ class WordIds(dict):
     work on each run of other characters alone. Ids of up to ``limit`` runs are remembered.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 2_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
