@@ -66,12 +66,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, turns: int = 25) -> np
 
 
 def fit_evidence(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 400, least_docs: int = 5, least_z: float = 4.0,
-                 ridge: float = 0.005, doc_id: str = "doc_id", text: str = "text") -> dict[str, tuple[float, ...]]:
+                 ridge: float = 100.0, doc_id: str = "doc_id", text: str = "text") -> dict[str, tuple[float, ...]]:
     """Weights (poor, toxic) of features being present, and under the empty name those that all documents get.
 
     Fitted on at most about ``max_rows`` labelled documents, chosen by a hash of doc_id; those rows (three small columns) are the only thing
     broadcast. Features are counted by a grouped aggregate. For each target the ``max_features`` are taken that are in ``least_docs`` documents and whose
-    shares differ most, by ``least_z`` standard errors at least. A ridge logistic regression on them gives weights, less the log-odds of the sample's rate: what is
+    shares differ most, by ``least_z`` standard errors at least. A logistic regression on them, with a penalty of ``ridge`` over the number of documents, gives weights, less the log-odds of the sample's rate: what is
     left is evidence against a rate of 1/2, to which a site's log-odds can be added. Sample, matrix and model are bounded by the parameters.
     """
     n = labels.count()
@@ -135,7 +135,7 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max
         if t not in chosen:
             continue
         y, columns = got[t].fillna(0).to_numpy(), [*(place[f] for f in chosen[t]), len(names)]
-        w = _logistic(x[:, columns], y, ridge)
+        w = _logistic(x[:, columns], y, ridge / len(y))
         w[-1] -= log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
         for f, v in zip((*chosen[t], ""), w):
             weights[f][i] = float(v)
