@@ -20,6 +20,7 @@ PREFIX = 16
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 _HASHES = WordHashes()
+_HASHES.limit = 400_000
 
 
 def _prefixes(words: np.ndarray) -> np.ndarray:
@@ -75,33 +76,34 @@ def runs(documents: list[list[bytes]], window: int) -> list[tuple[np.ndarray, ..
 
 def _anchors(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2):
-            found = runs([t.split() for t in raw(batch.column(2))], window)
-            n = np.array([len(f[0]) for f in found], dtype=np.int64)
-            rows = pa.array(np.repeat(np.arange(len(found)), n))
+        for batch in slices(batches, 2, 2 << 20):
+            found = [np.unique(f[2], return_counts=True) for f in runs([t.split() for t in raw(batch.column(2))], window)]
+            rows = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
             if len(rows):
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate([f[2] for f in found]).view(np.int64)),
-                                                  pa.array(np.concatenate([f[3] for f in found]).astype(np.int32))], names=["id", "th", "prefix", "at"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate([f[0] for f in found]).view(np.int64)),
+                                                  pa.array(np.concatenate([f[1] for f in found]).astype(np.int64))], names=["id", "th", "prefix", "n"])
 
     return run
 
 
 def _suffixes(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [("id", pa.int64()), ("th", pa.int64()), ("prefix", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("words", pa.binary()), ("name", pa.binary())]
+        kinds = [("id", pa.int64()), ("th", pa.int64()), ("prefix", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("words", pa.binary()),
+                 ("name", pa.binary()), ("starts", pa.list_(pa.int32()))]
         for batch in slices(batches, 2, 2 << 20):
             documents = [t.split() for t in raw(batch.column(2))]
             rows = []
             columns = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
-            for (id_, th, usual, hot), words, (first, n, prefix, at) in zip(zip(*columns), documents, runs(documents, window)):
-                for group, crowded in ((usual, False), (hot, True)):
-                    for k in np.flatnonzero(np.isin(at, group)):
-                        start, count = int(first[k]), int(n[k])
-                        if not crowded:
-                            rows.append((id_, th, int(prefix[k].view(np.int64)), start, count, b" ".join(words[start:start + count + window - 1]), None))
-                            continue
-                        for s in range(start, start + count):  # the prefix grows to the whole window
-                            rows.append((id_, th, None, s, 1, None, hashlib.sha256(b" ".join(words[s:s + window])).digest()))
+            for (id_, th, usual, hot), words, (first, n, prefix, _) in zip(zip(*columns), documents, runs(documents, window)):
+                prefix = prefix.view(np.int64)
+                for k in np.flatnonzero(np.isin(prefix, usual)):
+                    start, count = int(first[k]), int(n[k])
+                    rows.append((id_, th, int(prefix[k]), start, count, b" ".join(words[start:start + count + window - 1]), None, None))
+                leaves: dict[bytes, list[int]] = {}  # the prefix grows to the whole window
+                for k in np.flatnonzero(np.isin(prefix, hot)):
+                    for s in range(int(first[k]), int(first[k] + n[k])):
+                        leaves.setdefault(hashlib.sha256(b" ".join(words[s:s + window])).digest(), []).append(s)
+                rows += [(id_, th, None, None, None, None, name, starts) for name, starts in leaves.items()]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds)], names=[k for k, _ in kinds])
 
@@ -158,8 +160,9 @@ def _tree(window: int):
     return run
 
 
-def repeat_spans(docs: DataFrame, window: int = 50, group: int = 20_000, hot: int = 5_000) -> DataFrame:
-    """(id, th, spans) of documents with words to remove: begin and end of stretches of windows that also start in a document of smaller id.
+def repeat_spans(docs: DataFrame, window: int = 50, group: int = 8_000, hot: int = 4_000) -> DataFrame:
+    """(id, th, spans, leaves) of documents with words to remove: begin and end of stretches of windows that also start in a document of
+    smaller id, and lists of single such windows' starts.
 
     ``docs`` has ``id``, ``th`` (a hash of the text) and ``text``. In turn: suffixes are dealt by the prefix of their window, in runs; prefixes that occur in
     one document only are leaves and leave the work; runs of the others, with their words, are gathered into groups of about ``group`` runs and each
@@ -167,36 +170,43 @@ def repeat_spans(docs: DataFrame, window: int = 50, group: int = 20_000, hot: in
     lengthened to the whole window, whose SHA-256 names a leaf of the tree that all its windows reach, and the smallest id of
     each such leaf is an aggregate that combines before the shuffle. So no group grows with a passage's number of copies.
     """
-    anchors = materialize(docs.mapInArrow(_anchors(window), "id long, th long, prefix long, at int"), "anchors")
-    shared = anchors.groupBy("prefix").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter("first < last")
-    flagged = anchors.join(shared.select("prefix", (F.col("n") > hot).alias("crowded")), "prefix")
-    places = lambda crowded: F.collect_set(F.when(F.col("crowded") == crowded, F.col("at")))
-    flagged = flagged.groupBy("id", "th").agg(places(False).alias("usual"), places(True).alias("hot"))  # as many as a document has runs
+    anchors = materialize(docs.mapInArrow(_anchors(window), "id long, th long, prefix long, n long"), "anchors")
+    shared = anchors.groupBy("prefix").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.sum("n").alias("n")).filter("first < last")
+    flagged = anchors.drop("n").join(shared.select("prefix", (F.col("n") > hot).alias("crowded")), "prefix")
+    those = lambda crowded: F.collect_set(F.when(F.col("crowded") == crowded, F.col("prefix")))
+    flagged = flagged.groupBy("id", "th").agg(those(False).alias("usual"), those(True).alias("hot"))  # as many as a document has runs
     found = docs.join(flagged, ["id", "th"]).select("id", "th", "text", "usual", "hot")
-    found = materialize(found.mapInArrow(_suffixes(window), "id long, th long, prefix long, start int, n int, words binary, name binary"), "suffixes")
-    usual = found.filter("name is null")
+    found = found.mapInArrow(_suffixes(window), "id long, th long, prefix long, start int, n int, words binary, name binary, starts array<int>")
+    found = materialize(found, "suffixes")
+    usual = found.filter("name is null").drop("name", "starts")
     groups = max(1, ceil(usual.count() / group))
     spans = usual.withColumn("group", F.pmod(F.xxhash64("prefix"), F.lit(groups))).groupBy("group").applyInArrow(_tree(window), "id long, th long, begin int, end int")
-    named = found.filter("name is not null").select("name", "id", "th", "start")
-    least = named.groupBy("name").agg(F.min("id").alias("first"))
-    leaves = named.join(least, "name").filter("first < id").select("id", "th", F.col("start").alias("begin"), (F.col("start") + window).alias("end"))
-    return spans.unionByName(leaves).groupBy("id", "th").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
-
-
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 1):
-        rows = []
-        for doc, text, spans in zip(batch.column(0).to_pylist(), raw(batch.column(1)), batch.column(2).to_pylist()):
-            words = text.split()
-            kept, at = [], 0
-            for begin, end in sorted((s["begin"], s["end"]) for s in spans or ()):
-                kept += words[at:begin]
-                at = max(at, end)
-            kept += words[at:]
-            rows.append((doc, len(words), len(words) - len(kept), b" ".join(kept)))
-        columns = list(zip(*rows))
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary()).cast(pa.string())],
-                                         names=["doc_id", "n_words", "n_removed", "kept_text"])
+    named = found.filter("name is not null").select("name", "id", "th", "starts")
+    least = named.groupBy("name").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
+    leaves = named.join(least.drop("last"), "name").filter("first < id").select("id", "th", "starts")
+    both = spans.select("id", "th", F.struct("begin", "end").alias("span")).unionByName(leaves, allowMissingColumns=True)
+    return both.groupBy("id", "th").agg(F.collect_set("span").alias("spans"), F.collect_set("starts").alias("leaves"))
+
+
+def _without(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1, 2 << 20):
+            rows = []
+            for doc, text, spans, leaves in zip(batch.column(0).to_pylist(), raw(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                words = text.split()
+                gone = [(s["begin"], s["end"]) for s in spans or ()] + [(s, s + window) for starts in leaves or () for s in starts]
+                kept, at = [], 0
+                for begin, end in sorted(gone):
+                    kept += words[at:begin]
+                    at = max(at, end)
+                kept += words[at:]
+                rows.append((doc, len(words), len(words) - len(kept), b" ".join(kept)))
+            if rows:
+                columns = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary()).cast(pa.string())],
+                                                 names=["doc_id", "n_words", "n_removed", "kept_text"])
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text: str = "text", **sizes) -> DataFrame:
@@ -209,5 +219,5 @@ def remove_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", te
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("bigint"), F.lit(LAST_ID)).alias("id"), F.col(text).alias("text"))
     rows = rows.withColumn("th", F.xxhash64("text"))
     spans = repeat_spans(rows.select("id", "th", "text"), window, **sizes)
-    joined = rows.join(spans, ["id", "th"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_without, "doc_id long, n_words long, n_removed long, kept_text string")
+    joined = rows.join(spans, ["id", "th"], "left").select("doc_id", "text", "spans", "leaves")
+    return joined.mapInArrow(_without(window), "doc_id long, n_words long, n_removed long, kept_text string")
