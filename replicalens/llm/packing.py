@@ -25,7 +25,7 @@ class WordIds(dict):
     work on each run of other characters alone. Ids of up to ``limit`` runs are remembered.
     """
 
-    def __init__(self, path: str, limit: int = 2_500_000):
+    def __init__(self, path: str, limit: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -44,8 +44,8 @@ class WordIds(dict):
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str, limit: int = 1_000_000) -> WordIds:
+    return WordIds(path, limit)
 
 
 def cuts(n: int, capacity: int, classes: int, fill: float) -> list[tuple[int, int]]:
@@ -66,11 +66,11 @@ def cuts(n: int, capacity: int, classes: int, fill: float) -> list[tuple[int, in
     return out
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, classes: int, fill: float, doc_id: str, text: str) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, classes: int, fill: float, remember: int, doc_id: str, text: str) -> DataFrame:
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = word_ids(tokenizer)
+        ids_of = word_ids(tokenizer, remember)
         for batch in slices(batches, 1):
             rows = []
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -104,7 +104,7 @@ def _first_fit(capacity: int):
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096, classes: int = 32, fill: float = 0.95,
-         doc_id: str = "doc_id", text: str = "text", buckets: int = 256) -> DataFrame:
+         remember: int = 1_000_000, doc_id: str = "doc_id", text: str = "text", buckets: int = 256) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, klass, sequence_id, offset.
 
     A document is its token ids, then ``end_id``, cut by ``cuts``. Class k holds lengths in (capacity/(k+1), capacity/k]; its pieces are numbered
@@ -114,10 +114,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096,
     its class, less than classes²/2 pieces and one sequence of the last class at any input size, is packed first-fit
     decreasing in one small group.
 
-    Ids are 64-bit-safe longs; sequence ids run from 0 without gaps. Null text is an empty document of one token. Repeated rows are documents of
+    A worker remembers the ids of ``remember`` words at about 150 bytes each. Sequence ids run from 0 without gaps. Null text is an empty document of one token. Repeated rows are documents of
     their own. An empty table gives no rows.
     """
-    found = pieces(docs, tokenizer, end_id, capacity, classes, fill, doc_id, text)
+    found = pieces(docs, tokenizer, end_id, capacity, classes, fill, remember, doc_id, text)
     found = materialize(found.withColumns({"__h": F.xxhash64("doc_id", "start", "ids_crc32", "length"), "__one": F.lit(1).cast("bigint")}).withColumn(
         "__b", F.pmod("__h", F.lit(buckets)).cast("int")), "pieces")
     stretch = capacity - capacity // classes + 1
