@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from replicalens.llm.common import slices
+from replicalens.llm.common import few, slices
 from replicalens.session import materialize
 
 TARGETS = ("poor", "toxic")
@@ -149,7 +149,7 @@ def evidence(model: dict[str, tuple[float, ...]], text: Column) -> Column:
     @F.arrow_udf("struct<poor:double,toxic:double>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            sums = [tuple(map(sum, zip(all_get, *sorted(model[f] for f in features(t or "") if f in model)))) for t in texts.to_pylist()]
+            sums = [tuple(map(sum, zip(all_get, *sorted(model[f] for f in features(t or "") if f in model)))) for part in few(texts) for t in part.to_pylist()]
             yield pa.StructArray.from_arrays([pa.array([s[i] for s in sums], pa.float64()) for i in (0, 1)], names=list(TARGETS))
 
     return run(text)

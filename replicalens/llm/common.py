@@ -36,6 +36,11 @@ class WordHashes(dict):
         return value
 
 
+def few(texts: pa.Array, rows: int = 200) -> Iterator[pa.Array]:
+    """A batch in parts, so that few of its texts are Python objects at a time."""
+    return (texts.slice(i, rows) for i in range(0, len(texts), rows))
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes of ``column``, one row at least."""
     for batch in batches:

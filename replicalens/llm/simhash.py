@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from replicalens.llm.common import raw
+from replicalens.llm.common import few, raw
 from replicalens.llm.components import components
 from replicalens.session import materialize
 
@@ -44,7 +44,7 @@ def fingerprint(text: Column, width: int = 3) -> Column:
     @F.arrow_udf("long")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([_fingerprint(t, width) for t in raw(texts)], pa.int64())
+            yield pa.array([_fingerprint(t, width) for part in few(texts) for t in raw(part)], pa.int64())
 
     return run(text)
 
