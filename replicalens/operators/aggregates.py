@@ -148,13 +148,19 @@ def replica_assignment(partition_map: DataFrame, span: int = 1000) -> DataFrame:
         .alias("assignment"))
 
 
+def topic_key(table: DataFrame, name: str = "topic") -> list[str]:
+    """Key of a table of objects: with its cluster, unless the table is one cluster's and has none."""
+    return ["cluster_id", name] if "cluster_id" in table.columns else [name]
+
+
 def topic_records(partition_map: DataFrame, configs: DataFrame, tags: DataFrame, span: int = 1000) -> DataFrame:
     """Full topic records: counts, config map, custom tags, and the replica map in ranges of partition ids."""
     part = partition_map.groupBy("cluster_id", "topic", F.expr(f"partition_id div {span}").alias("range_id")).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("partition_id", "replicas")))).alias("replicas"))
     none = F.create_map().cast("map<string,string>")
     return (part.join(topic_rollup(partition_map), ["cluster_id", "topic"])
-            .join(configs.select("topic", "configs"), "topic", "left").join(tags.select("topic", "tags"), "topic", "left")
+            .join(configs.select(*topic_key(configs), "configs"), topic_key(configs), "left")
+            .join(tags.select(*topic_key(tags), "tags"), topic_key(tags), "left")
             .select("cluster_id", "topic", "partitions", "replication", "range_id", "replicas",
                     F.coalesce("configs", none).alias("configs"), F.coalesce("tags", none).alias("tags")))
 
@@ -162,4 +168,4 @@ def topic_records(partition_map: DataFrame, configs: DataFrame, tags: DataFrame,
 def broker_records(meta: DataFrame, tags: DataFrame) -> DataFrame:
     """Full broker records: attributes and custom tags."""
     none = F.create_map().cast("map<string,string>")
-    return meta.join(tags, "broker_id", "left").withColumn("tags", F.coalesce("tags", none))
+    return meta.join(tags, topic_key(tags, "broker_id"), "left").withColumn("tags", F.coalesce("tags", none))

@@ -86,6 +86,13 @@ def add_back_storage(state: DataFrame, replicas: DataFrame, sizes: DataFrame, pr
     return out, held.join(state, BROKER_KEY, "left_anti").select(*BROKER_KEY)
 
 
+def unsized_replicas(replicas: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Replicas whose partition has no known size. ``add_back_storage`` counts them as 0; a caller that must know all sizes rejects
+    the clusters listed here."""
+    known = sizes.filter("size_bytes is not null").select(*PARTITION_KEY)
+    return replicas.join(known, PARTITION_KEY, "left_anti").select(*PARTITION_KEY, "broker_id")
+
+
 def storage_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Absolute and percent change of free storage for brokers in both states; percent is null from 0."""
     a = after.select(*BROKER_KEY, F.col("storage_free").alias("after_free"))
@@ -153,7 +160,10 @@ def topics_with_overridden_brokers(replicas: DataFrame, overrides: DataFrame, pa
 def merge_network_metrics(tx: DataFrame, rx: DataFrame, group: list[str] | None = None) -> DataFrame:
     """Merge transmit and receive rows by host: only zero fields are filled, hosts of one side are kept,
     and a group whose sides count different hosts has no result."""
-    group = group or []
+    whole = not group
+    if whole:  # the whole table is one group
+        group = ["__all"]
+        tx, rx = tx.withColumn("__all", F.lit(0)), rx.withColumn("__all", F.lit(0))
     key = [*group, "host"]
     zero = F.lit(0.0)
     a = tx.select(*key, F.col("net_tx").alias("t1"), F.col("net_rx").alias("r1"), F.lit(1).alias("in_tx"))
@@ -163,10 +173,9 @@ def merge_network_metrics(tx: DataFrame, rx: DataFrame, group: list[str] | None
         return F.when(F.coalesce(x, zero) == 0, F.coalesce(y, zero)).otherwise(F.col(x))
 
     j = a.join(b, key, "full_outer")
-    if group:
-        even = j.groupBy(*group).agg((F.count("in_tx") == F.count("in_rx")).alias("even")).filter("even")
-        j = j.join(even.select(*group), group, "left_semi")
-    return j.select(*key, fill("t1", "t2").alias("net_tx"), fill("r1", "r2").alias("net_rx"))
+    even = j.groupBy(*group).agg((F.count("in_tx") == F.count("in_rx")).alias("even")).filter("even")
+    j = j.join(even.select(*group), group, "left_semi")
+    return j.select(*key[whole:], fill("t1", "t2").alias("net_tx"), fill("r1", "r2").alias("net_rx"))
 
 
 def with_host_tags(hosts: DataFrame, host_tags: DataFrame) -> tuple[DataFrame, DataFrame]:

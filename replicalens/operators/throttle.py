@@ -122,10 +122,15 @@ def failure_modes(ticks: DataFrame, threshold: int) -> DataFrame:
         F.when(F.col("complete"), "computed").when(F.col("failures") > threshold, "minimum").otherwise("retain").alias("mode"))
 
 
-def topics_done(snapshots: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """Topics of a snapshot that the next snapshot of the cluster no longer holds: (.., snapshot_ts, topic)."""
+def topics_done(snapshots: DataFrame, key: list[str] | None = None, ticks: DataFrame | None = None) -> DataFrame:
+    """Topics of a snapshot that the next snapshot of the cluster no longer holds: (.., snapshot_ts, topic).
+
+    A snapshot without topics has no row, so ``ticks`` (key, snapshot_ts) names all of them; without it the topics of a cluster's last
+    busy snapshot are never done.
+    """
     key = key or []
-    times = snapshots.select(*key, "snapshot_ts").distinct()
+    times = snapshots.select(*key, "snapshot_ts")
+    times = (times if ticks is None else times.union(ticks.select(*key, "snapshot_ts"))).distinct()
     nxt = times.withColumn("next_ts", F.lead("snapshot_ts").over(Window.partitionBy(*key).orderBy("snapshot_ts") if key
                                                                 else Window.partitionBy(F.lit(0)).orderBy("snapshot_ts")))
     gone = snapshots.join(nxt.filter("next_ts is not null"), [*key, "snapshot_ts"]).select(

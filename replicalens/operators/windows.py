@@ -29,8 +29,8 @@ def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
 
 
 def largest_partitions(replicas: DataFrame, sizes: DataFrame, k: int, min_bytes: int = 0) -> DataFrame:
-    """Top-k partitions by size of every broker, ties by partition and topic, from ``min_bytes`` up."""
-    held = replicas.select(*PARTITION_KEY, "broker_id").join(sizes, PARTITION_KEY)
+    """Top-k partitions by size of every broker, ties by partition and topic, from ``min_bytes`` up. An unknown size ranks last, as 0."""
+    held = replicas.select(*PARTITION_KEY, "broker_id").join(sizes, PARTITION_KEY, "left").withColumn("size_bytes", F.coalesce("size_bytes", F.lit(0)))
     order = [F.col("size_bytes").desc(), F.col("partition_id"), F.col("topic")]
     return top_k(held, BROKER_KEY, order, k).filter(F.col("size_bytes") >= min_bytes)
 

@@ -26,7 +26,7 @@ def _text(record: Column, start: Column, length: Column) -> Column:
 def decode_checkpoints(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(decoded checkpoints, rejected records) of (key, value, log_offset) rows.
 
-    Rejected: another header version, an empty group or an empty topic.
+    Rejected: another header version, an empty group or topic, and a null or truncated key or value. Every record is in one of the two.
     """
     k, v = F.col("key"), F.col("value")
     d = (
@@ -36,6 +36,8 @@ def decode_checkpoints(log: DataFrame) -> tuple[DataFrame, DataFrame]:
         .withColumn("tlen", _u16(k, F.col("tpos")))
     )
     bad = (F.col("version") != 0) | (F.col("glen") == 0) | (F.col("tlen") == 0)
+    short = (F.octet_length(k) < F.col("tpos") + F.col("tlen") + 5) | (F.octet_length(v) < _u16(v, 19) + 20) | (F.octet_length(v) < 20)
+    bad = F.coalesce(bad | short, F.lit(True))
     good = d.filter(~bad).select(
         "log_offset",
         _text(k, F.lit(3), F.col("glen")).alias("group_id"),
