@@ -125,7 +125,8 @@ def links(fps: DataFrame, radius: int = 2, segments: int = 2, hot: int = 64, blo
     return pairs.unionAll(stars)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2, segments: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2, segments: int = 2,
+                    hot: int = 64) -> DataFrame:
     """(doc_id, fp, component_id) for every row: fingerprint and smallest doc_id of all documents reachable by links.
 
     Null and empty texts share fingerprint 0 and so one component. Repeated rows come back as often as they come in. A
@@ -134,16 +135,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows = materialize(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), width).alias("fp")), "fingerprints")
     first = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    label = components(links(first.select("fp"), radius, segments)).select(F.col("node").alias("fp"), "label")
+    label = components(links(first.select("fp"), radius, segments, hot=hot)).select(F.col("node").alias("fp"), "label")
     named = first.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
     classes = materialize(named.join(least, "label").select("fp", "component_id"), "fingerprint-classes")
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2, segments: int = 2) -> DataFrame:
+def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2, segments: int = 2,
+                  hot: int = 8) -> DataFrame:
     """The rows of ``docs``, all columns, of which one per component stays: the smallest doc_id's, one row of its repeats."""
-    classes = near_duplicates(docs, doc_id, text, width, radius, segments)
+    classes = near_duplicates(docs, doc_id, text, width, radius, segments, hot)
     keep = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
         F.col("doc_id").alias("__id"), F.col("fp").alias("__keep"), F.col("component_id").alias("__group")).distinct()
     marked = docs.withColumn("__fp", fingerprint(F.col(text), width))
