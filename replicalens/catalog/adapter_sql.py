@@ -82,7 +82,7 @@ select 'topic' as resource_type, p_brand as resource_name, lower(p_type) as k,
 from part group by p_brand, lower(p_type)""",
     "fx_topic_snapshots": """
 select distinct date_trunc('day', ts) as snapshot_ts, concat('t', cast(user_id % 12 as varchar)) as topic
-from events where event_type = 'purchase' and value > 40""",
+from events where event_type = 'purchase'""",
 }
 
 

@@ -28,7 +28,7 @@ from events group by all""",
 select event_type as cluster_id, date_trunc('hour', ts) as tick, sum(event_id) % 3 = 0 as complete from events group by all""",
     "fx_snapshots": """
 select distinct concat('c', cast(user_id % 3 as varchar)) as cluster_id, date_trunc('day', ts) as snapshot_ts, concat('t', cast(user_id % 40 as varchar)) as topic
-from events where event_type = 'purchase' and event_id % 4 = 1""",
+from events where event_type = 'purchase'""",
 })
 
 
@@ -49,7 +49,7 @@ def health(t):
 
 def snapshots(t):
     u = F.col("user_id")
-    return t.table("events").filter("event_type = 'purchase' and event_id % 4 = 1").select(
+    return t.table("events").filter("event_type = 'purchase'").select(
         F.concat(F.lit("c"), (u % 3).cast("string")).alias("cluster_id"),
         F.date_trunc("day", F.col("ts").cast("timestamp")).alias("snapshot_ts"), F.concat(F.lit("t"), (u % 40).cast("string")).alias("topic")).distinct()
 

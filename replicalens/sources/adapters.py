@@ -209,6 +209,6 @@ class Tables:
 
     @cached_property
     def topic_snapshots(self) -> DataFrame:
-        return self.table("events").filter("event_type = 'purchase' and value > 40").select(
+        return self.table("events").filter("event_type = 'purchase'").select(
             F.date_trunc("day", F.col("ts").cast("timestamp")).alias("snapshot_ts"),
             F.concat(F.lit("t"), (F.col("user_id") % 12).cast("string")).alias("topic")).distinct()
