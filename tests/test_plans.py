@@ -198,6 +198,34 @@ def test_no_feasible_move_gives_an_empty_plan(spark):
     assert moves.isEmpty() and scores.first()["round"] == 0
 
 
+def _relocate(spark, maps_, sizes, brokers, **options):
+    m = spark.createDataFrame(maps_, "cluster_id string, topic string, partition_id bigint, replicas array<bigint>")
+    z = spark.createDataFrame(sizes, "cluster_id string, topic string, partition_id bigint, size_bytes bigint")
+    st = spark.createDataFrame(brokers, STATE)
+    src = st.filter("broker_id = 1").select("cluster_id", "broker_id")
+    moves, _scores = relocation.plan_relocations(to_replicas(m), z, st, src, min_bytes=0, **options)
+    return moves.collect()
+
+
+def test_the_only_feasible_move_is_found(spark):
+    # Nine roomy brokers share a rack with the other replica, one does not; the larger partition fits nowhere.
+    clusters = [f"c{i}" for i in range(10)]
+    maps_ = [(c, "t", p, [1, 2]) for c in clusters for p in (0, 1)]
+    sizes = [(c, "t", p, size) for c in clusters for p, size in ((0, 80), (1, 50))]
+    racks = {1: "a", 11: "c"}
+    brokers = [(c, b, racks.get(b, "b"), 2, 10 if b == 1 else 100, False, False, False) for c in clusters for b in range(1, 12)]
+    rows = _relocate(spark, maps_, sizes, brokers, tolerances=[0.5])
+    assert sorted((r.cluster_id, r.partition_id, r.src, r.dst) for r in rows) == sorted((c, 1, 1, 11) for c in clusters)
+
+
+def test_rounds_go_on_until_nothing_moves(spark):
+    maps_ = [("c", "t", p, [1]) for p in range(6)]
+    sizes = [("c", "t", p, 10) for p in range(6)]
+    brokers = [("c", b, "", 6, 0 if b == 1 else 1000, False, False, False) for b in range(1, 8)]
+    rows = _relocate(spark, maps_, sizes, brokers, tolerances=[0.3], partition_limit=1)
+    assert sorted(r.partition_id for r in rows) == list(range(6)) and len({r["round"] for r in rows}) == 6
+
+
 def test_repair_goes_round_again_when_storage_runs_short(spark):
     # One rack-less small broker and two large ones: slots turned away by the small one must land elsewhere.
     parts = [("c", "t", p, [None, 1]) for p in range(40)]
