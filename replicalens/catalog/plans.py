@@ -10,6 +10,7 @@ from replicalens.catalog.base import query
 from replicalens.catalog.filters import merged, state
 from replicalens.functions.arrays import render, set_replication, to_partition_map
 from replicalens.operators import aggregates as A
+from replicalens.operators.windows import top_k
 from replicalens.plans import affinity, constraints, leadership, maps, placement, relocation, repair
 from replicalens.schemas import PARTITION_KEY
 from replicalens.session import materialize
@@ -69,13 +70,56 @@ def _(t):
     return placed
 
 
-@query("pln01_place_by_storage", placement_sql(4, "size_bytes", "storage_free"))
+@query("pln01_place_by_storage", placement_sql(4, "size_bytes", "storage_free * 1000000"))
 def _(t):
-    # With four replicas the largest racks exceed their share, so the capped case is exercised.
-    placed, _errors = placement.place(t.partition_size, t.broker_meta, 4, strategy="storage", optimization="storage")
+    # With four replicas the largest racks exceed their share, so the capped case is exercised. Storage is ample here:
+    # placement by share alone is what the twin states. Scarce storage is the next query.
+    ample = t.broker_meta.withColumn("storage_free", F.col("storage_free") * 1000000)
+    placed, _errors = placement.place(t.partition_size, ample, 4, strategy="storage", optimization="storage")
     return placed
 
 
+def room_summary(t, st, placed, errors, rf):
+    """What storage placement promises, counted per cluster; ``missed`` are errors that an allowed broker could have held."""
+    z = t.partition_size.select(*PARTITION_KEY, F.greatest("size_bytes", F.lit(1)).alias("z"))
+    own = F.concat(F.lit("#"), F.col("broker_id").cast("string"))
+    st = st.select("cluster_id", "broker_id", F.when(F.col("rack") == "", own).otherwise(F.col("rack")).alias("grp"), "storage_free")
+    rows = materialize(placed.join(z, PARTITION_KEY).join(st, ["cluster_id", "broker_id"]), "placed-rows")
+    load = rows.groupBy("cluster_id", "broker_id").agg(F.sum("z").alias("load"))
+    left = st.join(load, ["cluster_id", "broker_id"], "left").withColumn("left", F.col("storage_free") - F.coalesce("load", F.lit(0)))
+    left = materialize(left, "placed-left")
+    over = left.groupBy("cluster_id").agg(F.count(F.when(F.col("load") > F.col("storage_free"), 1)).alias("overfull"))
+    sets = rows.groupBy(*PARTITION_KEY).agg(F.collect_set("grp").alias("grps"), F.count(F.lit(1)).alias("n"))
+    clash = sets.groupBy("cluster_id").agg(F.sum(F.col("n") - F.size("grps")).cast("bigint").alias("rack_clashes"))
+    # A list uses rf - 1 groups at most when a slot is open, so the rf freest groups hold the freest allowed one.
+    top = top_k(left.groupBy("cluster_id", "grp").agg(F.max("left").alias("most")), ["cluster_id"], [F.col("most").desc(), "grp"], rf)
+    best = top.groupBy("cluster_id").agg(F.collect_list(F.struct("grp", "most")).alias("best"))
+    none = F.array().cast("array<string>")
+    open_ = errors.select(*PARTITION_KEY).join(z, PARTITION_KEY).join(sets, PARTITION_KEY, "left").join(best, "cluster_id").withColumn(
+        "grps", F.coalesce("grps", none))
+    missed = open_.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("open"), F.count(F.when(
+        F.expr("exists(best, x -> x.most >= z and not array_contains(grps, x.grp))"), 1)).alias("missed"))
+    count = rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("rows"))
+    zero = F.lit(0).cast("bigint")
+    out = over.join(clash, "cluster_id", "left").join(missed, "cluster_id", "left").join(count, "cluster_id", "left")
+    return out.select("cluster_id", (F.coalesce("rows", zero) + F.coalesce("open", zero)).alias("slots"), (F.coalesce("open", zero) > 0).alias("scarce"),
+                      "overfull", F.coalesce("rack_clashes", zero).alias("rack_clashes"), F.coalesce("missed", zero).alias("missed"))
+
+
+@query("pln01_place_within_room", """
+with c as (select cluster_id, 3 * count(*) as slots, 3 * sum(size_bytes) as need from fx_partition_size group by cluster_id)
+select cluster_id, slots, true as scarce, 0::bigint as overfull, 0::bigint as rack_clashes, 0::bigint as missed from c""")
+def _(t):
+    # About nine tenths of what the three replicas of each cluster need, dealt by the brokers' shares, so some slots find no room.
+    need = t.partition_size.groupBy("cluster_id").agg(F.sum("size_bytes").alias("need"))
+    have = t.broker_meta.groupBy("cluster_id").agg(F.sum("storage_free").alias("have"))
+    st = t.broker_meta.join(need, "cluster_id").join(have, "cluster_id").withColumn(
+        "storage_free", F.expr("cast(cast(storage_free as decimal(38,0)) * need * 27 div (have * 10) as bigint)"))
+    st = materialize(st.select("cluster_id", "broker_id", "rack", "storage_free"), "scarce-state")
+    placed, errors = placement.place(t.partition_size, st, 3, strategy="storage")
+    return room_summary(t, st, placed, materialize(errors, "scarce-errors"), 3)
+
+
 @query("pln01_placement_errors", """
 select cluster_id, count(*) as errors from fx_partition_size
 where (select count(distinct case when rack = '' then concat('#', broker_id) else rack end) from fx_broker_meta) < 40 group by cluster_id""")
@@ -178,7 +222,13 @@ def _(t):
 
 
 @query("pln05_leadership_invariants", """
-select cluster_id, count(*) as partitions, 0::bigint as changed_sets, true as no_wider from fx_map group by cluster_id""")
+with held as (select cluster_id, broker_id, count(*) as held, count(case when idx = 0 then 1 end) as leaders from fx_replicas group by all),
+s as (select *, sum(leaders) over (partition by cluster_id) * held / sum(held) over (partition by cluster_id) as share from held),
+l as (select cluster_id, topic, partition_id from fx_replicas r join s using (cluster_id, broker_id) where idx = 0 and leaders - ceil(share) > 0),
+f as (select distinct cluster_id from fx_replicas r join s using (cluster_id, broker_id) join l using (cluster_id, topic, partition_id)
+  where idx > 0 and floor(share) - leaders > 0)
+select cluster_id, count(*) as partitions, 0::bigint as changed_sets, true as no_wider, f.cluster_id is not null as narrower, 0::bigint as hand_overs_left
+from fx_map m left join f using (cluster_id) group by cluster_id, f.cluster_id""")
 def _(t):
     before = materialize(t.partition_map, "leadership-input")
     after = leadership.balance_leaders(before)
@@ -188,8 +238,10 @@ def _(t):
         F.count(F.when(~F.array_sort("replicas").eqNullSafe(F.array_sort("new")), 1)).alias("changed_sets"))
     a = leadership.leader_spread(after).withColumnRenamed("spread", "a")
     b = leadership.leader_spread(before).withColumnRenamed("spread", "b")
-    return sets.join(a.join(b, "cluster_id"), "cluster_id").select(
-        "cluster_id", "partitions", "changed_sets", (F.col("a") <= F.col("b")).alias("no_wider"))
+    open_ = leadership.hand_overs(after, leadership.leader_targets(after)).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("open"))
+    return sets.join(a.join(b, "cluster_id"), "cluster_id").join(open_, "cluster_id", "left").select(
+        "cluster_id", "partitions", "changed_sets", (F.col("a") <= F.col("b")).alias("no_wider"), (F.col("a") < F.col("b")).alias("narrower"),
+        F.coalesce("open", F.lit(0).cast("bigint")).alias("hand_overs_left"))
 
 
 @query("pln06_rotated_lists", """

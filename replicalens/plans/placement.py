@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from replicalens.operators.windows import top_k
 from replicalens.plans.lines import hash_bucket, locate, prefix_sums
+from replicalens.plans.repair import _NO_BROKER, fill, within_room
 from replicalens.schemas import PARTITION_KEY
 from replicalens.session import materialize
 
@@ -95,7 +96,9 @@ def place(partitions: DataFrame, brokers: DataFrame, rf: int, *, strategy: str =
     rack, storage_free). Returns (replica rows, error rows).
 
     ``count`` gives every broker an equal share, ``storage`` a share by free storage. Replica order is
-    rotated by the partition's ordinal, which spreads leaders evenly under both optimizations.
+    rotated by the partition's ordinal, which spreads leaders evenly under both optimizations. Under ``storage`` a
+    broker never holds more than its free storage: what it turns away goes to brokers with room, and a slot that no
+    allowed broker can hold is one error row.
     """
     if strategy not in ("count", "storage"):
         raise ValueError(f"Invalid rebuild strategy '{strategy}'")
@@ -126,6 +129,14 @@ def place(partitions: DataFrame, brokers: DataFrame, rf: int, *, strategy: str =
              .select(*PARTITION_KEY, "ordinal", "k", "pos", "width"))
     hit = locate(slots, broker_segments(groups, line, rf), ["cluster_id"], "pos", "seg_start", "seg_end", "width", ["broker_id"])
     placed = hit.select(*PARTITION_KEY, F.pmod(F.col("k") + F.col("ordinal"), F.lit(rf)).cast("int").alias("idx"), "broker_id")
-    errors = parts.join(ok, "cluster_id", "left_anti").select(
-        *PARTITION_KEY, F.lit("No additional brokers that meet constraints").alias("error"))
-    return placed, errors.unionByName(unsized)
+    errors = parts.join(ok, "cluster_id", "left_anti").select(*PARTITION_KEY, F.lit(_NO_BROKER).alias("error")).unionByName(unsized)
+    if strategy == "count":
+        return placed, errors
+    sized = materialize(placed.join(parts, PARTITION_KEY), "placement-laid")
+    room = brokers.select("cluster_id", "broker_id", "rack", F.col("storage_free").cast("bigint").alias("free"))
+    fits, away = within_room(sized, room)
+    spent = fits.groupBy("cluster_id", "broker_id").agg(F.sum("z").alias("spent"))
+    room = room.join(spent, ["cluster_id", "broker_id"], "left").withColumn("free", F.col("free") - F.coalesce("spent", F.lit(0)))
+    placed = fits.select(*PARTITION_KEY, "idx", "broker_id")
+    more, left = fill(placed, away.select(*PARTITION_KEY, "idx", "z", "h", "hb"), room.drop("spent"), min_racks)
+    return placed.unionByName(more), errors.unionByName(left.select(*PARTITION_KEY, F.lit(_NO_BROKER).alias("error")))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from replicalens.functions.arrays import to_partition_map
+from replicalens.operators.windows import ranked, top_k
 from replicalens.plans.lines import hash_bucket, locate, prefix_sums
 from replicalens.schemas import PARTITION_KEY
 from replicalens.session import materialize
@@ -45,7 +46,8 @@ def repair(partition_map: DataFrame, state: DataFrame, *, strategy: str = "count
 
     Open slots are null ids, and brokers that are replaced, missing or unknown to ``state``. Storage mode
     lays slots out by size and keeps, per broker, only what fits its free storage; slots turned away are
-    laid out again over what is left, until a pass places none of them.
+    laid out again over what is left, until a pass places none of them. The rest goes through ``fill``, so an
+    error means that no allowed broker holds the slot.
     """
     if strategy not in ("count", "storage"):
         raise ValueError(f"Invalid rebuild strategy '{strategy}'")
@@ -68,7 +70,88 @@ def repair(partition_map: DataFrame, state: DataFrame, *, strategy: str = "count
         if new.isEmpty():
             break
         done = done.unionByName(new)
-    return done, errors
+    # What the passes could not lay out is dealt to brokers that can hold it, so that no error is left where one could.
+    unsized = errors.filter(F.col("error") != _NO_BROKER)
+    z = sizes.select(*PARTITION_KEY, F.greatest(F.ceil(F.col("size_bytes") * F.lit(size_factor)), F.lit(1)).cast("bigint").alias("z"))
+    h = F.md5(F.concat_ws(":", "topic", F.col("partition_id").cast("string")))
+    left = errors.filter(F.col("error") == _NO_BROKER).join(z, PARTITION_KEY).select(
+        *PARTITION_KEY, "idx", "z", h.alias("h")).withColumn("hb", hash_bucket(F.col("h")))
+    spent = new.join(z, PARTITION_KEY).groupBy("cluster_id", "broker_id").agg(F.sum("z").alias("spent"))
+    room = state.filter("not is_replace and not is_missing").join(spent, ["cluster_id", "broker_id"], "left").select(
+        "cluster_id", "broker_id", "rack", (F.col("storage_free") - F.coalesce("spent", F.lit(0))).cast("bigint").alias("free"))
+    more, still = fill(done, left, room, min_racks)
+    return done.unionByName(more), still.select(*PARTITION_KEY, "idx", F.lit(_NO_BROKER).alias("error")).unionByName(unsized)
+
+
+def within_room(placed: DataFrame, room: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Split ``placed`` (.., idx, broker_id, z, h, hb) into rows that fit their broker's ``free`` storage together, in md5 order, and the rest."""
+    laid = prefix_sums(placed, ["cluster_id", "broker_id"], ["hb"], ["h", "topic", "partition_id", "idx"], {"before": F.col("z")}).join(
+        room.select("cluster_id", "broker_id", "free"), ["cluster_id", "broker_id"], "left")
+    laid = materialize(laid.withColumn("fits", F.coalesce(F.col("before") + F.col("z") <= F.col("free"), F.lit(False))), "within-room")
+    return laid.filter("fits").select(*placed.columns), laid.filter("not fits").select(*placed.columns)
+
+
+def fill(held: DataFrame, left: DataFrame, room: DataFrame, min_racks: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Place open slots ``left`` (.., idx, z, h, hb) on brokers with ``free`` storage of at least z until no slot has such a broker.
+
+    Returns (new replica rows, slots still open). ``held`` are the replica rows there are. A round takes one slot of each partition and draws
+    one of its allowed groups: a rack the list does not use, a broker without rack, or any broker once ``min_racks`` racks are present. A list
+    rules out no more groups than it is long, so that many groups and one, with the freest brokers first, always hold an allowed one. In a
+    group the slot draws one of the brokers that can hold it; each broker then accepts what fits together, one slot at least.
+    """
+    own = F.concat(F.lit("#"), F.col("broker_id").cast("string"))
+    room = materialize(room.withColumn("rack", F.coalesce("rack", F.lit(""))), "fill-room")
+    left = materialize(left, "fill-left")
+    held = materialize(held.select(*PARTITION_KEY, "broker_id").filter("broker_id is not null").join(
+        left.select(*PARTITION_KEY).distinct(), PARTITION_KEY, "left_semi"), "fill-held")
+    racks = room.select("cluster_id", "broker_id", "rack")
+    new, turn = left.select(*PARTITION_KEY, "idx", F.lit(None).cast("bigint").alias("broker_id")).limit(0), 0
+    while not left.isEmpty():
+        sets = held.join(racks, ["cluster_id", "broker_id"], "left").groupBy(*PARTITION_KEY).agg(
+            F.collect_set(own).alias("ids"), F.collect_set(F.when(F.col("rack") != "", F.col("rack"))).alias("racks"))
+        none = F.array().cast("array<string>")
+        one = left.groupBy(*PARTITION_KEY).agg(F.min(F.struct("idx", "z", "h", "hb")).alias("s")).select(*PARTITION_KEY, "s.*")
+        one = one.join(sets, PARTITION_KEY, "left").withColumns({"ids": F.coalesce("ids", none), "racks": F.coalesce("racks", none)})
+        kind = F.when((F.lit(min_racks) > 0) & (F.size("racks") >= min_racks), "any").otherwise("apart")
+        one = materialize(one.withColumn("kind", kind), "fill-asks")
+        reach = one.agg(F.max(F.size("ids"))).first()[0] + 1
+
+        usable = room.filter("free > 0")
+        pool = usable.select("cluster_id", F.lit("apart").alias("kind"), F.when(F.col("rack") == "", own).otherwise(F.col("rack")).alias("grp"), "broker_id", "free")
+        if min_racks > 0:
+            pool = pool.unionByName(usable.select("cluster_id", F.lit("any").alias("kind"), own.alias("grp"), "broker_id", "free"))
+        line = ["cluster_id", "kind", "grp"]
+        top = materialize(top_k(pool.groupBy(*line).agg(F.max("free").alias("most")), ["cluster_id", "kind"],
+                                [F.col("most").desc(), F.col("grp")], reach, "place"), "fill-groups")
+        offers = top.groupBy("cluster_id", "kind").agg(F.array_sort(F.collect_list(F.struct("grp", "most"))).alias("offers"))
+        used = F.array_union("ids", F.when(F.col("kind") == "any", none).otherwise(F.col("racks")))
+        asked = one.join(offers, ["cluster_id", "kind"]).withColumn("used", used).withColumn(
+            "offers", F.expr("filter(offers, x -> x.most >= z and not array_contains(used, x.grp))")).filter("size(offers) > 0")
+        draw = lambda n, what: F.pmod(F.xxhash64(*PARTITION_KEY, "idx", F.lit(turn), F.lit(what)), n)
+        asked = asked.withColumn("grp", F.expr("offers.grp")[draw(F.size("offers"), "group").cast("int")])
+        asked = materialize(asked.select(*PARTITION_KEY, "idx", "z", "h", "hb", "kind", "grp"), "fill-asked")
+        if asked.isEmpty():
+            break
+
+        # Brokers of a group by free storage: those that hold z are the first m, found by locating z between their storages.
+        members = materialize(ranked(pool.join(top.select(*line), line, "left_semi"), line, [F.col("free").desc(), F.col("broker_id")], "m"), "fill-brokers")
+        after = members.select(*line, (F.col("m") - 1).alias("m"), F.col("free").alias("next"))
+        dims = asked.groupBy(*line).agg(F.count(F.lit(1)).alias("n")).join(top, line).select(
+            *line, F.expr("greatest(1, most div greatest(1, n div 2000))").alias("width"))
+        steps = members.join(after, [*line, "m"], "left").join(dims, line).select(
+            *line, "m", "width", (F.coalesce("next", F.lit(0)) + 1).cast("bigint").alias("least"), (F.col("free") + 1).alias("most"))
+        found = locate(asked.join(dims, line), steps, line, "z", "least", "most", "width", ["m"])
+        chosen = found.withColumn("m", draw(F.col("m"), "broker") + 1).join(members.select(*line, "m", "broker_id"), [*line, "m"])
+        fits, _away = within_room(materialize(chosen.select(*PARTITION_KEY, "idx", "broker_id", "z", "h", "hb"), "fill-chosen"), room)
+
+        new = new.unionByName(fits.select(*PARTITION_KEY, "idx", "broker_id"))
+        held = materialize(held.unionByName(fits.select(*PARTITION_KEY, "broker_id")), "fill-held")
+        spent = fits.groupBy("cluster_id", "broker_id").agg(F.sum("z").alias("spent"))
+        room = materialize(room.join(spent, ["cluster_id", "broker_id"], "left").select(
+            "cluster_id", "broker_id", "rack", (F.col("free") - F.coalesce("spent", F.lit(0))).alias("free")), "fill-room")
+        left = materialize(left.join(fits.select(*PARTITION_KEY, "idx"), [*PARTITION_KEY, "idx"], "left_anti"), "fill-left")
+        turn += 1
+    return new, left
 
 
 def _pass(partition_map: DataFrame, state: DataFrame, strategy: str, sizes: DataFrame | None, size_factor: float,

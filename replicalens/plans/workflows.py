@@ -55,14 +55,23 @@ def change_labels(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def _place_all(partition_map: DataFrame, state: DataFrame, sizes: DataFrame | None, **options) -> tuple[DataFrame, DataFrame]:
-    """Full placement of lists of any length: one placement per distinct length, each proportional to capacity."""
+    """Full placement of lists of any length: one placement per distinct length, each proportional to the capacity that is left.
+    Lengths are replication factors, so there are few. Partitions of unknown size are errors under ``storage`` only."""
+    by_size = options["strategy"] == "storage"
     parts = partition_map.select(*PARTITION_KEY, F.size("replicas").alias("rf"))
-    parts = materialize(parts.join(sizes, PARTITION_KEY) if sizes is not None else parts, "rebuild-parts")
+    parts = materialize(parts.join(sizes, PARTITION_KEY, "left") if by_size else parts, "rebuild-parts")
     live = state.filter("not is_replace and not is_missing")
-    placed = errors = None
+    placed = parts.select(*PARTITION_KEY, F.lit(0).alias("idx"), F.lit(None).cast("bigint").alias("broker_id")).limit(0)
+    errors = parts.select(*PARTITION_KEY, F.lit("").alias("error")).limit(0)
     for (rf,) in parts.select("rf").distinct().filter("rf > 0").orderBy("rf").collect():
         p, e = placement.place(parts.filter(F.col("rf") == rf), live, rf, **options)
-        placed, errors = (p, e) if placed is None else (placed.unionByName(p), errors.unionByName(e))
+        p = materialize(p, "rebuild-placed")
+        placed, errors = placed.unionByName(p), errors.unionByName(e)
+        if by_size:
+            z = F.greatest(F.ceil(F.col("size_bytes") * F.lit(options["size_factor"])), F.lit(1)).cast("bigint")
+            spent = p.join(parts, PARTITION_KEY).groupBy(*BROKER_KEY).agg(F.sum(z).alias("spent"))
+            live = materialize(live.join(spent, BROKER_KEY, "left").withColumn(
+                "storage_free", F.col("storage_free") - F.coalesce("spent", F.lit(0))).drop("spent"), "rebuild-live")
     return placed, errors
 
 

@@ -39,7 +39,7 @@ def compare(spark, con, name, fn, sql, sf_dir) -> tuple[bool, str]:
     got = sorted((tuple(norm(r[c]) for c in cols) for r in df.collect()), key=key)
     t1 = time.time()
     if sql is None:
-        return True, f"rows={len(got)} no oracle spark={t1 - t0:.1f}s"
+        return False, f"rows={len(got)} no oracle spark={t1 - t0:.1f}s"
     desc = dict((r[0], r[1]) for r in con.execute(f"describe {sql}").fetchall())
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]

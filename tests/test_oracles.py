@@ -17,7 +17,15 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(entry_module.queries()) - SLOW))
+# Queries that SQL cannot state; their own tests hold them against plain versions or count their promises.
+NO_ORACLE = {n for n in entry_module.queries() if n.startswith("op") or n == "pipeline"} | {"pln02_repair_placement", "pln07_relocation_plan"}
+
+
+def test_queries_without_oracle_are_known():
+    assert set(entry_module.queries()) - set(entry_module.oracle_sql()) <= NO_ORACLE
+
+
+@pytest.mark.parametrize("name", sorted(set(entry_module.oracle_sql()) - SLOW))
 def test_query(spark, con, name):
     ok, message = compare(spark, con, name, entry_module.queries()[name], entry_module.oracle_sql().get(name), SF)
     assert ok, message

@@ -251,3 +251,31 @@ def test_unknown_sizes_and_racks_are_reported_or_neutral(spark):
     assert len(bad) == sum(b in gone for r in m.filter("partition_id < 5").collect() for b in r.replicas)
     assert {r.error for r in bad} <= {"partition size not found"}
     assert rows.count() + errors.count() == 900
+
+
+def test_full_placement_keeps_to_free_storage(spark):
+    z = spark.range(20).selectExpr("'c' as cluster_id", "'t' as topic", "id as partition_id", "1000L as size_bytes")
+    st = spark.range(4).selectExpr("'c' as cluster_id", "id as broker_id", "concat('r', id) as rack", "5L as storage_free")
+    placed, errors = placement.place(z, st, 1, strategy="storage")
+    assert placed.isEmpty() and errors.count() == 20
+    # One broker holds all that fits: the others turn their shares away, and its room is used to the end.
+    placed, errors = placement.place(z, st.withColumn("storage_free", F.expr("if(broker_id = 2, 7500L, 900L)")), 1, strategy="storage")
+    assert {(r.broker_id, r.n) for r in placed.groupBy("broker_id").agg(F.count(F.lit(1)).alias("n")).collect()} == {(2, 7)}
+    assert errors.count() == 13
+
+
+def test_repair_reaches_the_only_broker_that_holds_a_slot(spark):
+    m = spark.range(12).selectExpr("concat('c', id) as cluster_id", "'t' as topic", "0L as partition_id", "array(cast(null as bigint)) as replicas")
+    z = m.selectExpr("cluster_id", "topic", "partition_id", "100L as size_bytes")
+    st = m.select("cluster_id").crossJoin(spark.range(4)).selectExpr(
+        "cluster_id", "id as broker_id", "'r' as rack", "0L as used", "if(id = 1, 100L, 90L) as storage_free", "false as is_replace", "false as is_missing")
+    rows, errors = repair.repair(m, st, strategy="storage", sizes=z)
+    assert errors.isEmpty() and {(r.cluster_id, r.broker_id) for r in rows.collect()} == {(f"c{i}", 1) for i in range(12)}
+
+
+def test_leadership_goes_on_until_no_hand_over_is_left(spark):
+    m = spark.range(300).selectExpr("'c' as cluster_id", "'t' as topic", "id as partition_id", "array(0L, 1 + id % 9, 1 + (id + 4) % 9) as replicas")
+    out = leadership.balance_leaders(m).cache()
+    assert leadership.hand_overs(out, leadership.leader_targets(out)).isEmpty()
+    same = out.withColumnRenamed("replicas", "new").join(m, ["cluster_id", "topic", "partition_id"]).filter("array_sort(new) = array_sort(replicas)")
+    assert same.count() == 300
