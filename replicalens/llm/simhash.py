@@ -127,7 +127,8 @@ def links(fps: DataFrame, radius: int = 2, segments: int = 2, hot: int = 64, blo
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2, segments: int = 2,
                     hot: int = 64) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: fingerprint and smallest doc_id of all documents reachable by links.
+    """(doc_id, fp, component_id, label) for every row: fingerprint and smallest doc_id of all documents reachable by links,
+    and the component's smallest fingerprint, which unlike ids is never null and names one component only.
 
     Null and empty texts share fingerprint 0 and so one component. Repeated rows come back as often as they come in. A
     null doc_id is never the smallest unless all of its component are null. An empty table gives no rows. Other
@@ -138,8 +139,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     label = components(links(first.select("fp"), radius, segments, hot=hot)).select(F.col("node").alias("fp"), "label")
     named = first.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    classes = materialize(named.join(least, "label").select("fp", "component_id"), "fingerprint-classes")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = materialize(named.join(least, "label").select("fp", "component_id", "label"), "fingerprint-classes")
+    return rows.join(classes, "fp").select("doc_id", "fp", "component_id", "label")
 
 
 def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2, segments: int = 2,
@@ -147,7 +148,7 @@ def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     """The rows of ``docs``, all columns, of which one per component stays: the smallest doc_id's, one row of its repeats."""
     classes = near_duplicates(docs, doc_id, text, width, radius, segments, hot)
     keep = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("__id"), F.col("fp").alias("__keep"), F.col("component_id").alias("__group")).distinct()
+        F.col("doc_id").alias("__id"), F.col("fp").alias("__keep"), F.col("label").alias("__group")).distinct()
     marked = docs.withColumn("__fp", fingerprint(F.col(text), width))
     kept = marked.join(keep, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__keep")))
     return kept.dropDuplicates(["__group"]).select(*docs.columns)

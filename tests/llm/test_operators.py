@@ -90,6 +90,13 @@ def test_one_per_group(spark, odd):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(parts)
 
 
+def test_one_per_group_of_null_and_repeated_ids(spark):
+    words = [f"w{i}" for i in range(600)]
+    texts = [" ".join(words[i:i + 100]) for i in range(0, 600, 100)]
+    found = simhash.one_per_group(frame(spark, list(zip([None, None, None, 7, 7, 9], texts)))).select("doc_id", "text")
+    assert got(found) == sorted(zip([None, None, None, 7, 7, 9], texts), key=str)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 64, 1000, 4097])
 def test_permutation(n):
     out = sharding.permute(np.arange(n), n, 7)
