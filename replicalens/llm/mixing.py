@@ -30,14 +30,14 @@ def water_fill(sources: DataFrame, budget: float, max_epochs: float) -> DataFram
     """
     cap = F.col("source_size") * F.lit(float(max_epochs))
     table = materialize(sources.withColumn("__cap", cap), "sources")
-    level = 0.0  # words per unit of weight; it only rises
+    level, before = 0.0, None  # words per unit of weight; it only rises
     while True:
         over = F.col("weight") * F.lit(level) > F.col("__cap")
         clamped, weight, n = table.agg(F.sum(F.when(over, F.col("__cap"))), F.sum(F.when(~over, F.col("weight"))), F.count_if(over)).first()
         if not weight:
             break
         new = max(0.0, budget - (clamped or 0.0)) / weight
-        if level and n == before:
+        if n == before:
             break
         level, before = new, n
     target = F.when(F.col("weight") * F.lit(level) > F.col("__cap"), F.col("__cap")).otherwise(F.col("weight") * F.lit(level))

@@ -97,6 +97,12 @@ def test_one_per_group_of_null_and_repeated_ids(spark):
     assert got(found) == sorted(zip([None, None, None, 7, 7, 9], texts), key=str)
 
 
+@pytest.mark.parametrize("texts", [[None, "", " \n"], [None]])
+def test_mixing_without_words(spark, texts):
+    found = mixing.mix(frame(spark, list(enumerate(texts)))).select("doc_id", "target", "copies")
+    assert got(found) == [(i, 0.0, 0) for i in range(len(texts))]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 64, 1000, 4097])
 def test_permutation(n):
     out = sharding.permute(np.arange(n), n, 7)
