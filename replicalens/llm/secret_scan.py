@@ -48,7 +48,7 @@ MORE = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", hints=("private key-----",)),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", hints=("eyj",)),
     Rule("hosted", r"\b(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})", hints=("gh", "xox", "aiza")),
-    Rule("login", r"\b[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,100}:[^\s/:@]{1,100}@[^\s/]+", hints=("://",)),
+    Rule("login", r"\b[a-z][a-z0-9+.-]{1,15}://[^\s/:@]++:[^\s/:@]++@[^\s/]+", version=2, hints=("://",)),
 )
 RULES = BASE + MORE
 

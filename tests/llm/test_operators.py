@@ -278,6 +278,13 @@ def test_secrets(docs, rows, odd):
         assert got(out) == sorted(((d, *brute.secrets(t)) for d, t in plain), key=str)
 
 
+def test_long_logins(spark):
+    text = f"see https://{'u' * 150}:{'p' * 5000}@host.example/x"
+    found = secret_scan.scan_versions(frame(spark, [(1, text), (2, "https://user:word host")])).select("path", "findings")
+    spans = {r["path"]: [(f["kind"], f["start"], f["end"]) for f in r["findings"] if f["kind"] == "login"] for r in found.collect()}
+    assert spans == {1: [("login", 4, len(text) - 2)], 2: []}
+
+
 def test_ledger_scans_only_what_it_has_not_seen(spark, odd, tmp_path):
     path, (first, *_, last) = str(tmp_path / "ledger"), secret_scan.RULES
     secret_scan.scan_versions(odd.limit(20), path, [first]).count()
