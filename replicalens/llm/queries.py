@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from replicalens.llm import classifier, exact, kneser_ney, mixing, packing, repetition, secret_scan, sharding, simhash, substring
+from replicalens.llm import alignment, classifier, exact, kneser_ney, mixing, packing, repetition, secret_scan, sharding, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,3 +123,11 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("path").alias("doc_id"), *[secret_scan.counted(F.col("findings"), k).alias(f"n_{k}") for k in base],
         F.sha2(secret_scan.spelled(F.col("findings"), base), 256).alias("base_sha256"), secret_scan.spelled(F.col("findings")).alias("spans"))
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    counts = alignment.count_pairs(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return alignment.aligned(docs, counts).withColumn("groups_sha256", digest).drop("groups")
