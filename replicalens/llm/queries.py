@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from replicalens.llm import alignment, classifier, exact, kneser_ney, mixing, packing, repetition, secret_scan, sharding, simhash, substring
+from replicalens.llm import alignment, classifier, exact, kneser_ney, lexical, mixing, packing, repetition, secret_scan, sharding, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,3 +131,24 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = alignment.count_pairs(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
     return alignment.aligned(docs, counts).withColumn("groups_sha256", digest).drop("groups")
+
+
+_TERMS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+OP11_SQL = f"""
+with docs as (select row_number() over () as d, doc_id, {_TERMS} as terms from documents where text is not null),
+sizes as (select d, doc_id, len(terms)::bigint as n from docs where len(terms) > 0),
+totals as (select count(*)::bigint as documents, sum(n)::bigint as tokens from sizes),
+counts as (select d, term, count(*)::bigint as tf from (select d, unnest(terms) as term from docs) group by d, term),
+weights as (select term, floor(1000 * ln((2 * any_value(documents) + 2)::double / (2 * count(*) + 1)::double))::bigint as w from counts, totals group by term),
+asked as (select i, item_id, unnest(list_distinct({_TERMS})) as term from (select row_number() over () as i, item_id, text from benchmark where text is not null)),
+scores as (
+  select i, item_id, d, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * documents) // tokens))))::bigint as score
+  from asked join counts using (term) join weights using (term) join sizes using (d), totals group by i, item_id, d, doc_id)
+select item_id, rank, doc_id, score from (
+  select *, (row_number() over (partition by i order by score desc, doc_id nulls last))::int as rank from scores where score > 0) where rank <= 10
+"""
+
+
+@query("op11_lexical_search", OP11_SQL)
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
