@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from replicalens.llm.array_files import load, save
-from replicalens.llm.common import slices
+from replicalens.llm.common import slices, summed_vectors
 from replicalens.llm.perfect_hash import PerfectHash, mixed
 from replicalens.session import materialize, scratch_path
 
@@ -245,11 +245,6 @@ def _dense(counts: PairCounts):
     return run
 
 
-def _summed(group: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(v.as_buffer(), np.int64) for v in group.column("vector"))
-    return pa.table({"shard": group.column("shard")[:1], "node": group.column("node")[:1], "vector": pa.array([total.tobytes()], pa.binary())})
-
-
 def _finish(counts: PairCounts):
     def run(group: pa.Table) -> pa.Table:
         s, total = group.column("shard")[0].as_py(), np.frombuffer(group.column("vector")[0].as_buffer(), np.int64)
@@ -277,13 +272,8 @@ def count_pairs(docs: DataFrame, path_a: str, path_b: str, text: str = "text", s
         _count_links(path_a, path_b, shards, segments), "shard int, node long, keys array<long>, counts array<long>"), "task-pairs")
     distinct = parts.select("shard", F.explode("keys").alias("key")).distinct()
     distinct.groupBy("shard").applyInArrow(_build_hash(counts), "shard int, n long").write.format("noop").mode("overwrite").save()
-    nodes = (parts.agg(F.max("node")).first()[0] or 0) + 1
     vectors = parts.withColumn("node", F.expr(f"node div {fan_in}")).groupBy("shard", "node").applyInArrow(_dense(counts), "shard int, node long, vector binary")
-    nodes = -(-nodes // fan_in)
-    while nodes > 1:
-        vectors = materialize(vectors, "pair-vectors").withColumn("node", F.expr(f"node div {fan_in}"))
-        vectors = vectors.groupBy("shard", "node").applyInArrow(_summed, vectors.schema)
-        nodes = -(-nodes // fan_in)
+    vectors = summed_vectors(materialize(vectors, "pair-vectors"), fan_in)
     vectors.groupBy("shard").applyInArrow(_finish(counts), "shard int").write.format("noop").mode("overwrite").save()
     return counts
 

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from replicalens.session import materialize
+
 #: A word of a text, for Java's and RE2's engines alike.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Null ids sort and compare as the largest id inside the operators.
@@ -72,3 +75,22 @@ def numbered(df: DataFrame, group: list[str], bucket: str, order: list[Column],
     rows = df.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"__i_{n}") for n, c in sums.items()])
     joined = rows.join(totals, [*group, bucket])
     return joined.select(*df.columns, *[(F.col(f"__b_{n}") + F.col(f"__i_{n}")).cast("bigint").alias(n) for n in sums])
+
+
+def _summed(group: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(v.as_buffer(), np.int64) for v in group.column("vector"))
+    return pa.table({"shard": group.column("shard")[:1], "node": group.column("node")[:1], "vector": pa.array([total.tobytes()], pa.binary())})
+
+
+def summed_vectors(vectors: DataFrame, fan_in: int) -> DataFrame:
+    """One vector a shard: rows (shard int, node long, vector binary of 64-bit numbers) summed in a tree, ``fan_in`` nodes at a time.
+
+    ``vectors`` is read twice, so give a written table. A node's rows lie together; nodes are numbered from 0, such as by task.
+    """
+    nodes = (vectors.agg(F.max("node")).first()[0] or 0) + 1
+    while True:
+        vectors = vectors.withColumn("node", F.expr(f"node div {fan_in}")).groupBy("shard", "node").applyInArrow(_summed, "shard int, node long, vector binary")
+        nodes = -(-nodes // fan_in)
+        if nodes == 1:
+            return vectors
+        vectors = materialize(vectors, "summed-vectors")
