@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from replicalens.llm import alignment, classifier, exact, kneser_ney, lexical, mixing, packing, repetition, secret_scan, sharding, simhash, substring
+from replicalens.llm import alignment, classifier, exact, jaccard, kneser_ney, lexical, mixing, packing, repetition, secret_scan, sharding, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -152,3 +152,8 @@ select item_id, rank, doc_id, score from (
 @query("op11_lexical_search", OP11_SQL)
 def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+@query("op12_jaccard_join")
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"), width=4, percent=85)

@@ -15,7 +15,8 @@ from replicalens.llm.perfect_hash import mixed
 from replicalens.session import materialize, scratch_path
 
 _HASHES = WordHashes()
-_ODD = [np.uint64((2 * i + 1) * 0x9E3779B97F4A7C15 % 2**64) for i in range(64)]
+#: Unrelated odd multipliers, one per place in a shingle.
+_ODD = mixed(np.arange(64), 1) | np.uint64(1)
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
