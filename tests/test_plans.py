@@ -226,6 +226,15 @@ def test_rounds_go_on_until_nothing_moves(spark):
     assert sorted(r.partition_id for r in rows) == list(range(6)) and len({r["round"] for r in rows}) == 6
 
 
+def test_the_window_of_a_source_moves_on_with_its_moves(spark):
+    # The three largest partitions fit nowhere: of a window of four, only the fourth place ever moves, one partition after the other.
+    sizes = [("c", "t", p, 900 if p < 3 else 100 - p) for p in range(9)]
+    brokers = [("c", 1, "", 9, 0, False, False, False)] + [("c", b, "", 0, 1000, False, False, False) for b in range(2, 8)]
+    rows = _relocate(spark, [("c", "t", p, [1]) for p in range(9)], sizes, brokers, tolerances=[0.8], partition_limit=4)
+    assert sorted(r.partition_id for r in rows) == list(range(3, 9))
+    assert _relocate(spark, [("c", "t", p, [1]) for p in range(9)], sizes, brokers, tolerances=[0.8], partition_limit=3) == []
+
+
 def test_repair_goes_round_again_when_storage_runs_short(spark):
     # One rack-less small broker and two large ones: slots turned away by the small one must land elsewhere.
     parts = [("c", "t", p, [None, 1]) for p in range(40)]
