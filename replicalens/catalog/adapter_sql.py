@@ -53,8 +53,7 @@ select r.cluster_id, r.topic, r.partition_id, r.idx,
        case when r.idx = 0 then r.broker_id else (r.broker_id * 7 + 3) % (select count(*) from supplier) end as target_broker,
        l.broker_id as leader
 from fx_replicas r
-join fx_replicas l on l.cluster_id = r.cluster_id and l.topic = r.topic and l.partition_id = r.partition_id and l.idx = 0
-where r.partition_id % 4 = 0) x where idx = 0 or target_broker <> leader""",
+join fx_replicas l on l.cluster_id = r.cluster_id and l.topic = r.topic and l.partition_id = r.partition_id and l.idx = 0) x where idx = 0 or target_broker <> leader""",
     "fx_override": """
 select cluster_id, s_suppkey as broker_id, case when s_suppkey % 2 = 0 then 0 else 50 + s_suppkey % 3 end as rate,
        s_suppkey % 5 = 0 as autoremove

@@ -387,12 +387,50 @@ def _(t):
     return maps.chunk_changes(t.replicas, t.replicas_after, t.broker_meta, 7)
 
 
-@query("pln12_chunked_maps", CHUNK_SQL.replace("// 7", "// (select greatest(1, count(*) // 3) from supplier)") + """
-select s.cluster_id, s.topic, s.partition_id, x.at as chunk, idx, case when s.chunk <= x.at then final else broker_id end as broker_id
-from s join (select distinct cluster_id, chunk as at from s where broker_id <> final) x using (cluster_id)""")
+@query("pln12_chunked_maps", CHUNK_SQL + """
+select cluster_id, topic, partition_id, idx, -1 as from_chunk, case when broker_id <> final then chunk::int end as to_chunk, broker_id from s
+union all select cluster_id, topic, partition_id, idx, chunk::int, null, final from s where broker_id <> final""")
+def _(t):
+    return maps.chunk_spans(t.replicas, t.replicas_after, t.broker_meta, 7)
+
+
+@query("pln12_map_after_chunk", CHUNK_SQL + """
+select cluster_id, topic, partition_id, idx, case when chunk <= 4 then final else broker_id end as broker_id from s""")
+def _(t):
+    return maps.map_at(maps.chunk_spans(t.replicas, t.replicas_after, t.broker_meta, 7), 4)
+
+
+SPOILED_SQL = """
+with after as (select * from fx_replicas_after where not (idx = 2 and broker_id % 5 = 0)),
+k as (select cluster_id, broker_id, (row_number() over (partition by cluster_id order by broker_id desc) - 1) // 7 as chunk from fx_broker_meta where is_live = 1),
+n as (select cluster_id, topic, partition_id, count(*) as n from fx_replicas group by all),
+m as (select cluster_id, topic, partition_id, count(*) as m from after group by all),
+resized as (select cluster_id, topic, partition_id from n left join m using (cluster_id, topic, partition_id) where n.n is distinct from m.m),
+s as (select b.*, k.chunk, case when r.topic is null then a.broker_id else b.broker_id end as final
+  from fx_replicas b left join after a using (cluster_id, topic, partition_id, idx) left join k on k.cluster_id = b.cluster_id and k.broker_id = b.broker_id
+  left join resized r on r.cluster_id = b.cluster_id and r.topic = b.topic and r.partition_id = b.partition_id)
+"""
+
+
+def spoiled(t):
+    """Final lists without some third replicas, and brokers that are not live left out of the list."""
+    return t.replicas_after.filter("not (idx = 2 and broker_id % 5 = 0)"), t.broker_meta.filter("is_live = 1")
+
+
+@query("pln12_chunk_errors", SPOILED_SQL + """
+select cluster_id, topic, partition_id, null::int as idx, null::bigint as broker_id, 'replication factor changes' as error from resized
+union all select cluster_id, topic, partition_id, idx, broker_id, 'broker not listed' from s where chunk is null and final <> broker_id""")
+def _(t):
+    after, listed = spoiled(t)
+    return maps.chunk_errors(t.replicas, after, listed)
+
+
+@query("pln12_spans_keep_every_slot", SPOILED_SQL + """
+select cluster_id, topic, partition_id, idx, -1 as from_chunk, case when final <> broker_id then chunk::int end as to_chunk, broker_id from s
+union all select cluster_id, topic, partition_id, idx, chunk::int, null, final from s where final <> broker_id and chunk is not null""")
 def _(t):
-    step = max(1, t.table("supplier").count() // 3)
-    return maps.chunked_maps(t.replicas, t.replicas_after, t.broker_meta, step)
+    after, listed = spoiled(t)
+    return maps.chunk_spans(t.replicas, after, listed, 7)
 
 
 @query("pln13_phased_map", """

@@ -173,13 +173,13 @@ select cluster_id, broker_id,
        case when broker_id % 4 = 0 then null else cast(broker_id * 1000000 as varchar) end as leader_rate,
        case when broker_id % 3 = 0 then null else cast(broker_id * 2000000 as varchar) end as follower_rate,
        rack as kept
-from fx_broker_meta where broker_id > 0""")
+from fx_broker_meta""")
 def _(t):
     b = F.col("broker_id")
     base = F.create_map(F.lit("broker.rack"), F.col("rack"))
     cfg = X.with_broker_throttle(base, F.when(b % 4 == 0, 0).otherwise(b * 1000000),
                                  F.when(b % 3 == 0, 0).otherwise(b * 2000000))
-    m = t.broker_meta.filter("broker_id > 0").select("cluster_id", "broker_id", cfg.alias("c"))
+    m = t.broker_meta.select("cluster_id", "broker_id", cfg.alias("c"))
     return m.select("cluster_id", "broker_id", F.col("c")[X.LEADER_RATE_KEY].alias("leader_rate"),
                     F.col("c")[X.FOLLOWER_RATE_KEY].alias("follower_rate"), F.col("c")["broker.rack"].alias("kept"))
 

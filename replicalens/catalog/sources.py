@@ -201,3 +201,34 @@ def _(t):
     table, bad = K.delete_tags(t.tags, req)
     return table.select(F.lit("kept").alias("kind"), "object_id", F.explode("tags").alias("k", "v")).unionByName(
         bad.select(F.lit("rejected").alias("kind"), "object_id"), allowMissingColumns=True)
+
+
+TAG_LOG_SQL = """
+with log as (
+  select c_custkey as c, 1 as seq, 'pool' as k, 'first' as v, true as kept from customer where c_custkey % 2 = 0
+  union all select c_custkey, 2, 'pool', null, false from customer where c_custkey % 3 = 0
+  union all select c_custkey, 3, 'tier', 'hot', true from customer where c_custkey % 2 = 0
+  union all select c_custkey, 4, 'pool', 'last', true from customer where c_custkey % 5 = 0
+  union all select c_custkey, 5, 'zone', null, false from customer where c_custkey % 7 = 0),
+w as (select cast(c as varchar) as object_id, k, arg_max(kept, seq) as kept, arg_max(coalesce(v, ''), seq) as v from log group by all)
+select 'table' as kind, object_id, k, v from fx_tags where (object_id, k) not in (select object_id, k from w)
+union all select 'table', object_id, k, v from w where kept
+union all select 'rejected', cast(c_custkey + 100000000 as varchar), null, null from customer where c_custkey % 11 = 0"""
+
+
+@query("snk05_tag_log", TAG_LOG_SQL)
+def _(t):
+    c, n = t.table("customer"), F.col("c_custkey")
+
+    def rows(mod, seq, key, value=None, shift=0):
+        tags = F.create_map(F.lit(key), F.lit(value)) if value else F.lit(None).cast("map<string,string>")
+        keys = F.lit(None).cast("array<string>") if value else F.array(F.lit(f"{key}:any"))
+        return c.filter(n % mod == 0).select(F.lit("broker").alias("object_type"), (n + shift).cast("string").alias("object_id"), F.lit(seq).alias("seq"),
+                                             tags.alias("tags"), keys.alias("keys"))
+
+    log = rows(5, 4, "pool", "last")
+    for more in (rows(2, 1, "pool", "first"), rows(7, 5, "zone"), rows(3, 2, "pool"), rows(2, 3, "tier", "hot"), rows(11, 6, "pool", shift=100000000)):
+        log = log.unionByName(more)
+    table, bad = K.apply_tag_log(t.tags, log)
+    return table.select(F.lit("table").alias("kind"), "object_id", F.explode("tags").alias("k", "v")).unionByName(
+        bad.select(F.lit("rejected").alias("kind"), "object_id"), allowMissingColumns=True)

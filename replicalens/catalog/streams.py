@@ -11,8 +11,9 @@ from replicalens.operators import joins as J
 from replicalens.operators import tags as G
 from replicalens.operators import throttle as T
 from replicalens.operators.windows import latest_values
-from replicalens.session import scratch_path
+from replicalens.session import materialize, scratch_path
 from replicalens.streaming import jobs as S
+from replicalens.streaming import windows as W
 
 LIMITS = T.Limits(minimum=10, source_max=80, destination_max=60)
 
@@ -29,6 +30,9 @@ select event_type as cluster_id, date_trunc('hour', ts) as tick, sum(event_id) %
     "fx_snapshots": """
 select distinct concat('c', cast(user_id % 3 as varchar)) as cluster_id, date_trunc('day', ts) as snapshot_ts, concat('t', cast(user_id % 40 as varchar)) as topic
 from events where event_type = 'purchase'""",
+    "fx_snapshot_ticks": """
+select cluster_id, snapshot_ts from (select unnest(['c0', 'c1', 'c2']) as cluster_id) c, (
+  select distinct date_trunc('day', ts) as snapshot_ts from events union select max(date_trunc('day', ts)) + interval 1 day from events) d""",
 })
 
 
@@ -66,6 +70,15 @@ def as_stream(t, df, name, order):
     return S.file_stream(t.spark, path)
 
 
+def as_batches(t, df, name, order, batches=3):
+    """Write ``df`` as files of rising ``order``, one after the other, and read them back as a stream of one file a batch."""
+    path = scratch_path(t.spark, name)
+    ranged = materialize(df.repartitionByRange(batches, order).withColumn("part", F.spark_partition_id()), f"{name}-ranged")
+    for i in range(batches):
+        ranged.filter(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(path)
+    return S.file_stream(t.spark, path, 1)
+
+
 WINDOW_SQL = """
 select time_bucket(interval 120 seconds, ts, timestamp '1970-01-01') as window_start, concat('h', user_id % 20) as host,
   cast(sum(case when event_type in ('click', 'view') then bytes end) as bigint)::double / count(case when event_type in ('click', 'view') then 1 end) / 1048576 as net_tx,
@@ -80,22 +93,69 @@ def network_points(events):
         F.round(F.col("value") * 100000000).cast("bigint").alias("value"))
 
 
+def network_windows(t, stream, lateness=None, fold_every=32):
+    """(windows, late rows) of a stream of network points."""
+    path = scratch_path(t.spark, "network-windows")
+    W.window_sums_stream(stream, path, "120 seconds", ["host"], W.network_sums(), lateness, fold_every)
+    return W.window_sums(stream, path, "120 seconds", ["host"], W.network_sums()), W.late_rows(stream, path)
+
+
+def mixed_files(t, df, name, files=6):
+    """Write ``df`` as files that each hold rows of all times, and read them back as a stream of one file a batch."""
+    path = scratch_path(t.spark, name)
+    df.repartition(files, F.xxhash64(*df.columns)).write.parquet(path)
+    return S.file_stream(t.spark, path, 1)
+
+
 @query("str01_network_averages", WINDOW_SQL)
 def _(t):
-    stream = network_points(S.file_stream(t.spark, f"{t.sf_dir}/events*.parquet"))
-    out = S.run_update(S.network_averages(stream), ["window_start", "host"], "network-averages")
-    return ntz(out, "window_start")
+    windows, _late = network_windows(t, network_points(S.file_stream(t.spark, f"{t.sf_dir}/events*.parquet")))
+    return ntz(W.network_averages(windows), "window_start")
 
 
-@query("str02_latest_rolled_values", """
-with r as (select metric, scope, date_trunc('hour', ts) as ts, avg(value) as value from fx_metric_points group by all)
-select metric, scope, max(ts) as ts, round(arg_max(value, ts), 6) as value from r where value is not null group by metric, scope""")
+@query("str01_windows_of_many_batches", WINDOW_SQL)
+def _(t):
+    # One file a batch, every file with rows of all times, folded every other batch: the same windows.
+    windows, _late = network_windows(t, mixed_files(t, network_points(t.table("events")), "network-points"), fold_every=2)
+    return ntz(W.network_averages(windows), "window_start")
+
+
+@query("str01_late_rows", WINDOW_SQL)
 def _(t):
-    stream = t.metric_points_from(S.file_stream(t.spark, f"{t.sf_dir}/events*.parquet"))
-    rolled = S.run_update(S.rolled_points(stream, ["metric", "scope"]), ["metric", "scope", "ts"], "rolled-points")
+    # Rows over an hour behind earlier batches come out as late; counted with the others they give the same windows.
+    windows, late = network_windows(t, mixed_files(t, network_points(t.table("events")), "network-points", 3), lateness="1 hour")
+    path = scratch_path(t.spark, "late-windows")
+    late_path = scratch_path(t.spark, "late-points")
+    late.write.parquet(late_path)
+    again = S.file_stream(t.spark, late_path)
+    W.window_sums_stream(again, path, "120 seconds", ["host"], W.network_sums())
+    both = windows.unionByName(W.window_sums(again, path, "120 seconds", ["host"], W.network_sums()))
+    whole = both.groupBy("window_start", "host").agg(*[F.sum(f"{d}_{x}").alias(f"{d}_{x}") for d in ("tx", "rx") for x in ("sum", "n")])
+    return ntz(W.network_averages(whole), "window_start")
+
+
+ROLLED_SQL = """
+with r as (select metric, scope, date_trunc('hour', ts) as ts, avg(value) as value from fx_metric_points group by all)
+select metric, scope, max(ts) as ts, round(arg_max(value, ts), 6) as value from r where value is not null group by metric, scope"""
+
+
+def rolled_latest(t, stream):
+    path, value = scratch_path(t.spark, "rolled-points"), {"value": F.col("value")}
+    W.window_sums_stream(stream, path, "3600 seconds", ["metric", "scope"], value)
+    rolled = W.rolled_values(W.window_sums(stream, path, "3600 seconds", ["metric", "scope"], value), ["metric", "scope"])
     return ntz(latest_values(rolled, ["metric", "scope"]).withColumn("value", F.round("value", 6)), "ts")
 
 
+@query("str02_latest_rolled_values", ROLLED_SQL)
+def _(t):
+    return rolled_latest(t, t.metric_points_from(S.file_stream(t.spark, f"{t.sf_dir}/events*.parquet")))
+
+
+@query("str02_rolled_values_of_many_batches", ROLLED_SQL)
+def _(t):
+    return rolled_latest(t, mixed_files(t, t.metric_points, "metric-points", 4))
+
+
 @query("str03_replication_rates", REASSIGNING_SQL + """,
 b as (select cluster_id, broker_id, bool_or(role = 'leaders') as is_src, bool_or(role = 'followers') as is_dst from e group by cluster_id, broker_id),
 n as (select cluster_id, broker_id, instance_type, storage_free % 250 as tx, storage_free % 170 as rx from fx_broker_meta where cluster_id <> 'p' or broker_id % 2 = 0),
@@ -187,20 +247,28 @@ def _(t):
 
 
 DONE_SQL = """
-with d as (select cluster_id, snapshot_ts, lead(snapshot_ts) over (partition by cluster_id order by snapshot_ts) as nxt from (select distinct cluster_id, snapshot_ts from fx_snapshots) x)
+with d as (select cluster_id, snapshot_ts, lead(snapshot_ts) over (partition by cluster_id order by snapshot_ts) as nxt from fx_snapshot_ticks)
 select s.cluster_id, d.nxt as snapshot_ts, s.topic from fx_snapshots s join d using (cluster_id, snapshot_ts)
 where d.nxt is not null and (s.cluster_id, d.nxt, s.topic) not in (select cluster_id, snapshot_ts, topic from fx_snapshots)"""
 
 
+def snapshot_ticks(t):
+    """Every day with an event is a snapshot of every cluster, and so is the day after the last one: many are empty."""
+    days = t.table("events").select(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("snapshot_ts")).distinct()
+    days = days.unionByName(days.agg((F.max("snapshot_ts") + F.expr("interval 1 day")).alias("snapshot_ts")))
+    return days.select(F.explode(F.array(*[F.lit(f"c{i}") for i in range(3)])).alias("cluster_id"), "snapshot_ts")
+
+
 @query("str07_topics_done", DONE_SQL)
 def _(t):
-    return ntz(T.topics_done(snapshots(t), ["cluster_id"]), "snapshot_ts")
+    return ntz(T.topics_done(snapshots(t), ["cluster_id"], snapshot_ticks(t)), "snapshot_ts")
 
 
 @query("str07_topics_done_stream", DONE_SQL)
 def _(t):
     path = scratch_path(t.spark, "topics-done")
-    S.topics_done_stream(as_stream(t, snapshots(t), "snapshots", "snapshot_ts"), path)
+    rows = snapshots(t).unionByName(snapshot_ticks(t).withColumn("topic", F.lit(None).cast("string")))
+    S.topics_done_stream(as_batches(t, rows, "snapshots", "snapshot_ts"), path)
     out = S.emitted(t.spark, path, "cluster_id string, snapshot_ts timestamp, topic string").drop("batch_id")
     return ntz(out, "snapshot_ts")
 
@@ -214,20 +282,28 @@ def _(t):
 
 
 @query("str08_override_actions", """
-with o as (select * from fx_override where (cluster_id, broker_id) not in (select cluster_id, target_broker from fx_reassignment where partition_id % 64 = 0))
+with v as (select cluster_id, broker_id, rate from fx_override union all
+  select cluster_id, broker_id, case when broker_id % 2 = 0 then 0 else 50 + broker_id % 3 end from fx_provided_brokers
+  where (cluster_id, broker_id) not in (select cluster_id, broker_id from fx_broker_meta)),
+o as (select * from v where (cluster_id, broker_id) not in (select cluster_id, target_broker from fx_reassignment))
 select cluster_id, broker_id, 'assign' as action, r.role, rate from o, (select unnest(['leader', 'follower']) as role) r where rate <> 0
 union all select cluster_id, broker_id, 'remove', null, null from o where rate = 0
-union all select cluster_id, broker_id, 'purge', null, null from fx_override where rate = 0""")
+union all select cluster_id, broker_id, 'purge', null, null from v where rate = 0""")
 def _(t):
-    part = t.reassignment.filter("partition_id % 64 = 0").select("cluster_id", F.col("target_broker").alias("broker_id"))
-    return T.override_actions(t.override, part)
+    # Brokers that are provided but not yet part of a cluster take no part in its reassignments.
+    b = F.col("broker_id")
+    spare = t.provided_brokers.join(t.broker_meta, ["cluster_id", "broker_id"], "left_anti").select(
+        "cluster_id", "broker_id", F.when(b % 2 == 0, F.lit(0).cast("bigint")).otherwise(50 + b % 3).alias("rate"), (b % 5 == 0).alias("autoremove"))
+    part = t.reassignment.select("cluster_id", F.col("target_broker").alias("broker_id"))
+    return T.override_actions(t.override.unionByName(spare), part)
 
 
 @query("str08_override_topic_updates", """
-select cluster_id, cluster_id <> 'f' as update_topics from fx_clusters""")
+with v as (select cluster_id, broker_id, (cluster_id, broker_id) in (select cluster_id, broker_id from fx_replicas) as still from fx_override where rate <> 0)
+select cluster_id, bool_or(not still) as update_topics from v group by cluster_id""")
 def _(t):
-    now = t.override.filter("rate <> 0")
-    return T.override_topic_updates(now, now.filter("cluster_id = 'f' or broker_id % 2 = 0"))
+    before = t.override.filter("rate <> 0")
+    return T.override_topic_updates(before.join(t.replicas, ["cluster_id", "broker_id"], "left_semi"), before)
 
 
 @query("str09_clear_decisions", """

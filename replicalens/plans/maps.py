@@ -32,18 +32,30 @@ def apply_moves(replicas: DataFrame, moves: DataFrame) -> DataFrame:
 
 
 def resized_partitions(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Partitions whose list length differs: errors for chunking."""
-    b = before.select(*PARTITION_KEY, F.size("replicas").alias("n"))
-    return after.join(b, PARTITION_KEY).filter(F.size("replicas") != F.col("n")).select(*PARTITION_KEY)
+    """Partitions of ``before`` whose number of replicas differs in ``after``, or that it does not have; both as replica rows."""
+    n = lambda df, name: df.groupBy(*PARTITION_KEY).agg(F.count(F.lit(1)).alias(name))
+    return n(before, "n").join(n(after, "m"), PARTITION_KEY, "left").filter(~F.col("n").eqNullSafe(F.col("m"))).select(*PARTITION_KEY)
+
+
+def chunk_errors(before: DataFrame, after: DataFrame, brokers: DataFrame) -> DataFrame:
+    """(.., idx, broker_id, error): partitions that chunking cannot change because their list length does, and changed slots on brokers that
+    are not listed, which no chunk switches."""
+    none = F.lit(None)
+    resized = resized_partitions(before, after).select(
+        *PARTITION_KEY, none.cast("int").alias("idx"), none.cast("bigint").alias("broker_id"), F.lit("replication factor changes").alias("error"))
+    slots = _slots_with_chunk(before, after, brokers, 1).filter("broker_id <> final and chunk is null")
+    return resized.unionByName(slots.select(*PARTITION_KEY, "idx", "broker_id", F.lit("broker not listed").alias("error")))
 
 
 def _slots_with_chunk(before: DataFrame, after: DataFrame, brokers: DataFrame, step: int) -> DataFrame:
+    """Every slot with its final broker and the chunk of its original one, null for a broker that is not listed. A resized partition keeps its brokers."""
     if step < 1:
         raise ValueError("chunk step must be positive")
     chunk = brokers_by_id(brokers.select(*BROKER_KEY).distinct(), descending=True).select(
         *BROKER_KEY, F.expr(f"(rank - 1) div {step}").alias("chunk"))
-    final = after.select(*PARTITION_KEY, "idx", F.col("broker_id").alias("final"))
-    return before.join(final, [*PARTITION_KEY, "idx"]).join(chunk, BROKER_KEY)
+    final = after.join(resized_partitions(before, after), PARTITION_KEY, "left_anti").select(*PARTITION_KEY, "idx", F.col("broker_id").alias("final"))
+    slots = before.select(*PARTITION_KEY, "idx", "broker_id").join(final, [*PARTITION_KEY, "idx"], "left")
+    return slots.withColumn("final", F.coalesce("final", "broker_id")).join(chunk, BROKER_KEY, "left")
 
 
 def chunk_changes(before: DataFrame, after: DataFrame, brokers: DataFrame, step: int) -> DataFrame:
@@ -52,23 +64,46 @@ def chunk_changes(before: DataFrame, after: DataFrame, brokers: DataFrame, step:
     Brokers are taken ``step`` at a time from the highest id down; a chunk switches the slots whose
     original broker is in it or in an earlier chunk. Chunks without a change do not appear. A partition
     appears once per chunk that touches it, so the output grows with the change, not with map x chunks.
+    What no chunk can change is in ``chunk_errors``.
     """
     slots = _slots_with_chunk(before, after, brokers, step)
-    touched = slots.filter("broker_id <> final").select(*PARTITION_KEY, F.col("chunk").alias("at")).distinct()
+    touched = slots.filter("broker_id <> final").select(*PARTITION_KEY, F.col("chunk").alias("at")).filter("at is not null").distinct()
     return slots.join(touched, PARTITION_KEY).select(
         *PARTITION_KEY, F.col("at").alias("chunk"), "idx",
         F.when(F.col("chunk") <= F.col("at"), F.col("final")).otherwise(F.col("broker_id")).alias("broker_id"))
 
 
+def chunk_spans(before: DataFrame, after: DataFrame, brokers: DataFrame, step: int) -> DataFrame:
+    """The whole map after every chunk, as versions: one row per slot and span of chunks (.., idx, from_chunk, to_chunk, broker_id).
+
+    A row holds after chunks ``from_chunk`` <= c < ``to_chunk``; the map as it was is version -1, and a null end is open. A slot has
+    one row, or two if a chunk switches it, so the table grows with the map and its changes, not with map x chunks.
+    ``map_at`` looks a version up.
+    """
+    slots = _slots_with_chunk(before, after, brokers, step)
+    switches = F.col("chunk").isNotNull() & (F.col("broker_id") != F.col("final"))
+    row = lambda a, b, who: F.struct(a.cast("int").alias("from_chunk"), b.cast("int").alias("to_chunk"), F.col(who).alias("broker_id"))
+    first, open_ = F.lit(-1), F.lit(None)
+    spans = F.when(switches, F.array(row(first, F.col("chunk"), "broker_id"), row(F.col("chunk"), open_, "final"))).otherwise(
+        F.array(row(first, open_, "broker_id")))
+    return slots.select(*PARTITION_KEY, "idx", F.inline(spans))
+
+
 def chunked_maps(before: DataFrame, after: DataFrame, brokers: DataFrame, step: int) -> DataFrame:
-    """The whole map after every chunk that changes something, as replica rows keyed by chunk."""
+    """The whole map after every chunk that changes something, as replica rows keyed by chunk: map x chunks rows, for writing a few maps out.
+    ``chunk_spans`` holds the same versions in one table that does not grow with the number of chunks."""
     slots = _slots_with_chunk(before, after, brokers, step)
-    kept = slots.filter("broker_id <> final").select("cluster_id", F.col("chunk").alias("at")).distinct()
+    kept = slots.filter("broker_id <> final").select("cluster_id", F.col("chunk").alias("at")).filter("at is not null").distinct()
     return slots.join(kept, "cluster_id").select(
         *PARTITION_KEY, F.col("at").alias("chunk"), "idx",
         F.when(F.col("chunk") <= F.col("at"), F.col("final")).otherwise(F.col("broker_id")).alias("broker_id"))
 
 
+def map_at(spans: DataFrame, chunk: int) -> DataFrame:
+    """Replica rows of the map after ``chunk``; -1 is the map before all chunks."""
+    return spans.filter((F.col("from_chunk") <= chunk) & (F.col("to_chunk").isNull() | (F.col("to_chunk") > chunk))).drop("from_chunk", "to_chunk")
+
+
 def phased_map(before: DataFrame, after: DataFrame) -> DataFrame:
     """First phase of a two-phase change: the old leader goes in front unless the new list holds it."""
     b = before.select(*PARTITION_KEY, F.col("replicas")[0].alias("leader"))

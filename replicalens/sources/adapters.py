@@ -134,13 +134,12 @@ class Tables:
 
     @cached_property
     def reassignment(self) -> DataFrame:
-        """Pending targets of every fourth partition: leader kept, followers moved to other brokers."""
+        """Pending targets of every partition: leader kept, followers moved to other brokers."""
         w = Window.partitionBy("cluster_id", "topic", "partition_id").orderBy("idx")
         target = F.when(F.col("idx") == 0, F.col("broker_id")).otherwise(
             (F.col("broker_id") * 7 + 3) % self.supplier_count)
         return (
-            self.replicas.filter("partition_id % 4 = 0")
-            .withColumn("leader", F.first("broker_id").over(w)).withColumn("target_broker", target)
+            self.replicas.withColumn("leader", F.first("broker_id").over(w)).withColumn("target_broker", target)
             .filter("idx = 0 or target_broker <> leader")
             .select("cluster_id", "topic", "partition_id", "idx", "target_broker")
         )

@@ -68,29 +68,82 @@ def _reserved(keys_of) -> Column:
     return out
 
 
-def upsert_tags(current: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(new tag table, rejected changes). New keys overwrite, other keys stay. Rejected: an incomplete
-    object, an empty tag set, a reserved key."""
+OBJECT = ["object_type", "object_id"]
+_NO_TAGS = "map<string,string>"
+
+
+def _rejected(tags: Column) -> Column:
+    """Changes that are refused: an incomplete object, an empty tag set, a reserved key."""
     bad = (F.coalesce("object_type", F.lit("")) == "") | (F.coalesce("object_id", F.lit("")) == "") | (
-        F.coalesce(F.size("tags"), F.lit(0)) == 0) | _reserved(lambda ks: has_any_key(F.col("tags"), ks))
-    bad = F.coalesce(bad, F.lit(True))
-    key = ["object_type", "object_id"]
-    none = F.create_map().cast("map<string,string>")
-    new = changes.filter(~bad).select(*key, F.col("tags").alias("change"))
-    table = current.join(new, key, "full_outer").select(
-        *key, merge_tags(F.coalesce("tags", none), F.coalesce("change", none)).alias("tags"))
-    return table, changes.filter(bad)
+        F.coalesce(F.size(tags), F.lit(0)) == 0) | _reserved(lambda ks: has_any_key(tags, ks))
+    return F.coalesce(bad, F.lit(True))
+
+
+def _key_names(keys: Column) -> Column:
+    """Only the part of a key before ``:`` counts."""
+    return F.transform(keys, lambda k: F.split(k, ":")[0])
+
+
+def fold_tag_log(log: DataFrame) -> DataFrame:
+    """The last word on every key: (object_type, object_id, sets map, drops array), one row per object.
+
+    ``log``: object_type, object_id, seq, tags, keys. A row sets the keys of ``tags``, or deletes ``keys`` (a tombstone). Of one key's rows the
+    largest ``seq`` counts; of equal ones a value before a tombstone, and the greatest value. Keys combine before the shuffle, so an object of many
+    requests is no hot group, and a row per object holds its distinct keys only.
+    """
+    entries = log.select(*OBJECT, "seq", F.explode(F.concat(
+        F.transform(F.map_entries(F.coalesce("tags", F.create_map().cast(_NO_TAGS))), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v"), F.lit(True).alias("kept"))),
+        F.transform(F.coalesce(_key_names(F.col("keys")), F.array().cast("array<string>")),
+                    lambda k: F.struct(k.alias("k"), F.lit(None).cast("string").alias("v"), F.lit(False).alias("kept"))))).alias("e")).select(*OBJECT, "seq", "e.*")
+    last = entries.groupBy(*OBJECT, "k").agg(F.max(F.struct("seq", "kept", "v")).alias("w")).select(*OBJECT, "k", "w.kept", "w.v")
+    return last.groupBy(*OBJECT).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("k", "v"))))).alias("sets"),
+        F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("k")))).alias("drops"))
+
+
+def _applied(current: DataFrame, folded: DataFrame, how: str) -> DataFrame:
+    none = F.create_map().cast(_NO_TAGS)
+    kept = F.map_filter(F.coalesce("tags", none), lambda k, _v: ~F.array_contains(F.coalesce("drops", F.array().cast("array<string>")), k))
+    return current.join(folded, OBJECT, how).select(*OBJECT, merge_tags(kept, F.coalesce("sets", none)).alias("tags"))
+
+
+def apply_tag_log(current: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new tag table, rejected rows) of a log of sets and deletes in any order of arrival; ``log`` as in ``fold_tag_log``.
+
+    The table has one row per object however many requests name it. Rejected: a set as in ``upsert_tags``, and a delete for an object that neither the table
+    nor an earlier set of the log has.
+    """
+    is_set = F.col("tags").isNotNull()
+    bad = log.filter(is_set & _rejected(F.col("tags")))
+    sets = log.filter(is_set & ~_rejected(F.col("tags")))
+    born = current.select(*OBJECT, F.lit(None).cast("bigint").alias("born")).unionByName(
+        sets.groupBy(*OBJECT).agg(F.min("seq").cast("bigint").alias("born"))).groupBy(*OBJECT).agg(
+        F.max(F.col("born").isNull()).alias("known"), F.min("born").alias("born"))
+    drops = log.filter(~is_set).join(born, OBJECT, "left").withColumn("fine", F.coalesce(F.col("known") | (F.col("born") < F.col("seq")), F.lit(False)))
+    unknown = drops.filter("not fine").select(*log.columns)
+    good = sets.unionByName(drops.filter("fine").select(*log.columns))
+    return _applied(current, fold_tag_log(good), "full_outer"), bad.unionByName(unknown)
+
+
+def _as_log(df: DataFrame, order: str | None, tags: str | None, keys: str | None) -> DataFrame:
+    none = F.lit(None)
+    return df.select(*OBJECT, (F.col(order) if order else F.lit(0)).cast("bigint").alias("seq"), (F.col(tags) if tags else none.cast(_NO_TAGS)).alias("tags"),
+                     (F.col(keys) if keys else none.cast("array<string>")).alias("keys"))
+
+
+def upsert_tags(current: DataFrame, changes: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new tag table, rejected changes). New keys overwrite, other keys stay. Rejected: an incomplete
+    object, an empty tag set, a reserved key. Several changes of one object are folded, the last in ``order`` winning each key."""
+    bad = _rejected(F.col("tags"))
+    folded = fold_tag_log(_as_log(changes.filter(~bad), order, "tags", None))
+    return _applied(current, folded, "full_outer"), changes.filter(bad)
 
 
 def delete_tags(current: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(new tag table, requests for unknown objects). Requests carry ``keys``; only the part of a key before
-    ``:`` counts."""
-    key = ["object_type", "object_id"]
-    names = F.transform("keys", lambda k: F.split(k, ":")[0])
-    req = requests.select(*key, names.alias("drop"))
-    kept = F.map_filter("tags", lambda k, _v: ~F.coalesce(F.array_contains("drop", k), F.lit(False)))
-    table = current.join(req, key, "left").select(*key, kept.alias("tags"))
-    return table, requests.join(current.select(*key), key, "left_anti")
+    ``:`` counts. All requests of an object count together."""
+    folded = fold_tag_log(_as_log(requests, None, None, "keys"))
+    return _applied(current, folded, "left"), requests.join(current.select(*OBJECT), OBJECT, "left_anti")
 
 
 def drop_tag_keys(current: DataFrame, keys: Iterable[str]) -> DataFrame:

@@ -58,23 +58,6 @@ def run_update(stream: DataFrame, key: list[str], name: str) -> DataFrame:
     return latest_per_key(emitted(stream.sparkSession, path, stream.schema), key)
 
 
-def network_averages(points: DataFrame, window: str = "120 seconds", watermark: str = "10 minutes") -> DataFrame:
-    """Tumbling-window mean of transmit and receive bytes per host, in MiB/s.
-
-    ``points``: ts, host, direction (tx or rx), value. The sums are exact for integer byte counts.
-    """
-    v = lambda d: F.avg(F.when(F.col("direction") == d, F.col("value"))) / (1 << 20)
-    return points.withWatermark("ts", watermark).groupBy(F.window("ts", window), "host").agg(
-        v("tx").alias("net_tx"), v("rx").alias("net_rx")).select(
-        F.col("window.start").alias("window_start"), "host", "net_tx", "net_rx")
-
-
-def rolled_points(points: DataFrame, series: list[str], span: str = "3600 seconds") -> DataFrame:
-    """Mean value of every series per ``span``; points up to one span late still count."""
-    return points.withWatermark("ts", span).groupBy(F.window("ts", span), *series).agg(
-        F.avg("value").alias("value")).select(*series, F.col("window.start").alias("ts"), "value")
-
-
 def latest_checkpoints_stream(checkpoints: DataFrame) -> DataFrame:
     """Running last checkpoint per (group, topic, partition), for update mode."""
     last = F.max_by(F.struct("upstream_offset", "local_offset"), F.col("log_offset"))
@@ -137,20 +120,18 @@ def append_events(rates: DataFrame, path: str) -> None:
 def topics_done_stream(snapshots: DataFrame, path: str) -> None:
     """Write the topics that leave the reassigning set, as (cluster_id, snapshot_ts, topic).
 
-    Each micro-batch is compared with the last snapshot of the batches before it, kept as a table, by the
-    batch operator; sets of any size stay distributed. Snapshots must arrive whole and in time order.
+    ``snapshots``: one row per topic of a snapshot, and a row with a null topic for a snapshot, or tick, that may be empty. Each micro-batch is
+    compared with the newest snapshot of every cluster before it by the batch operator, so sets of any size stay distributed. That state is one table
+    of the newest sets, written anew by each batch: a batch reads its predecessor's alone. Snapshots must arrive whole and in time order.
     """
-    spark = snapshots.sparkSession
-    seen = f"{path}-last"
+    spark, seen = snapshots.sparkSession, f"{path}-last"
 
     def step(df: DataFrame, batch_id: int) -> None:
-        if df.isEmpty():
-            return
-        known = emitted(spark, seen, df.schema).filter(F.col("batch_id") < batch_id)
-        last = known.join(known.groupBy("cluster_id").agg(F.max("batch_id").alias("batch_id")), ["cluster_id", "batch_id"])
+        last = spark.read.schema(df.schema).parquet(f"{seen}/batch_id={batch_id - 1}") if batch_id else spark.createDataFrame([], df.schema)
         both = last.select(*df.columns).unionByName(df).distinct()
-        topics_done(both, ["cluster_id"]).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        newest = both.join(both.groupBy("cluster_id").agg(F.max("snapshot_ts").alias("snapshot_ts")), ["cluster_id", "snapshot_ts"])
+        ticks = both.select("cluster_id", "snapshot_ts").distinct()
+        topics_done(both.filter("topic is not null"), ["cluster_id"], ticks).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        newest = both.join(ticks.groupBy("cluster_id").agg(F.max("snapshot_ts").alias("snapshot_ts")), ["cluster_id", "snapshot_ts"])
         newest.select(*df.columns).write.mode("overwrite").parquet(f"{seen}/batch_id={batch_id}")
 
     run_available(snapshots, path, "append", step)

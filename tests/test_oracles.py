@@ -9,7 +9,7 @@ from tests.compare import compare, duck
 
 SF = "/root/testdata/sf0.001"
 # Long planners; their promises are checked on small clusters in test_plans.
-SLOW = {"pln07_relocation_plan", "pln08_tolerance_sweep_invariants", "pln10_scale_out_invariants"}
+SLOW = {"pln08_tolerance_sweep_invariants"}
 
 
 @pytest.fixture(scope="module")

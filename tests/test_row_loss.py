@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from replicalens.operators import aggregates, joins, throttle, windows
-from replicalens.sources import checkpoint_log
+from replicalens.plans import maps
+from replicalens.sources import checkpoint_log, sinks
 
 
 def test_uneven_hosts_give_nothing_without_a_group(spark):
@@ -42,3 +43,42 @@ def test_topic_records_keep_clusters_apart(spark):
     values = spark.createDataFrame([("c1", "t", {"a": "1"}), ("c2", "t", {"a": "2"})], "cluster_id string, topic string, v map<string,string>")
     found = aggregates.topic_records(parts, values.withColumnRenamed("v", "configs"), values.withColumnRenamed("v", "tags")).collect()
     assert sorted((r["cluster_id"], r["configs"]["a"], r["tags"]["a"]) for r in found) == [("c1", "1", "1"), ("c2", "2", "2")]
+
+
+REPLICA = "cluster_id string, topic string, partition_id bigint, idx int, broker_id bigint"
+
+
+def test_chunks_drop_no_slot(spark):
+    before = spark.createDataFrame([("c", "t", 0, 0, 1), ("c", "t", 0, 1, 9), ("c", "t", 1, 0, 2), ("c", "t", 2, 0, 1), ("c", "t", 3, 0, 2)], REPLICA)
+    after = spark.createDataFrame([("c", "t", 0, 0, 3), ("c", "t", 0, 1, 4), ("c", "t", 1, 0, 3), ("c", "t", 1, 1, 2), ("c", "t", 2, 0, 1)], REPLICA)
+    brokers = spark.createDataFrame([("c", b) for b in (1, 2, 3, 4)], "cluster_id string, broker_id bigint")
+    spans = maps.chunk_spans(before, after, brokers, 1)
+    for chunk, first in ((-1, 1), (2, 1), (3, 3), (9, 3)):  # broker 1 is the fourth from above
+        got = {(r.partition_id, r.idx): r.broker_id for r in maps.map_at(spans, chunk).collect()}
+        assert got == {(0, 0): first, (0, 1): 9, (1, 0): 2, (2, 0): 1, (3, 0): 2}
+    errors = {(r.partition_id, r.idx, r.error) for r in maps.chunk_errors(before, after, brokers).collect()}
+    assert errors == {(0, 1, "broker not listed"), (1, None, "replication factor changes"), (3, None, "replication factor changes")}
+    assert [(r.partition_id, r.idx, r.chunk, r.broker_id) for r in maps.chunk_changes(before, after, brokers, 1).orderBy("idx").collect()] == [(0, 0, 3, 3), (0, 1, 3, 9)]
+
+
+TAGS = "object_type string, object_id string, tags map<string,string>"
+
+
+def test_many_requests_of_one_object_are_one_row(spark):
+    current = spark.createDataFrame([("topic", "x", {"a": "1", "b": "2", "c": "3"})], TAGS)
+    changes = spark.createDataFrame([("topic", "x", {"a": "new"}, 2), ("topic", "x", {"a": "old", "d": "4"}, 1), ("topic", "y", {"e": "5"}, 1)], TAGS + ", seq int")
+    table, bad = sinks.upsert_tags(current, changes, "seq")
+    assert {r.object_id: r.tags for r in table.collect()} == {"x": {"a": "new", "b": "2", "c": "3", "d": "4"}, "y": {"e": "5"}} and bad.isEmpty()
+    requests = spark.createDataFrame([("topic", "x", ["a:1"]), ("topic", "x", ["b", "b"]), ("topic", "z", ["a"])], "object_type string, object_id string, keys array<string>")
+    table, bad = sinks.delete_tags(current, requests)
+    assert [(r.object_id, r.tags) for r in table.collect()] == [("x", {"c": "3"})] and [r.object_id for r in bad.collect()] == ["z"]
+
+
+def test_tag_log_takes_the_last_word(spark):
+    current = spark.createDataFrame([("topic", "x", {"a": "1", "b": "2"})], TAGS)
+    rows = [("topic", "x", 5, None, ["a"]), ("topic", "x", 3, {"a": "three"}, None), ("topic", "x", 7, {"c": "seven"}, None), ("topic", "n", 1, {"k": "v"}, None),
+            ("topic", "n", 2, None, ["k"]), ("topic", "n", 0, None, ["k"]), ("topic", "u", 1, None, ["k"]), ("topic", "x", 9, {"name": "reserved"}, None), ("topic", "x", 8, {}, None)]
+    log = spark.createDataFrame(rows, "object_type string, object_id string, seq int, tags map<string,string>, keys array<string>")
+    table, bad = sinks.apply_tag_log(current, log)
+    assert {r.object_id: r.tags for r in table.collect()} == {"x": {"b": "2", "c": "seven"}, "n": {}}
+    assert sorted((r.object_id, r.seq) for r in bad.collect()) == [("n", 0), ("u", 1), ("x", 8), ("x", 9)]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
 import gzip
 import json
+import random
 import time
 
 import pytest
@@ -15,6 +17,7 @@ from replicalens.sources import checkpoint_log as C
 from replicalens.sources import documents as D
 from replicalens.sources import sinks as K
 from replicalens.streaming import jobs as S
+from replicalens.streaming import windows as W
 
 
 def docs(spark, *texts, **cols):
@@ -152,3 +155,57 @@ def test_failure_modes(spark):
     df = spark.createDataFrame([("c", i, c) for i, c in enumerate([True, False, False, False, True, False])], "cluster_id string, tick int, complete boolean")
     assert [r["mode"] for r in T.failure_modes(df, 2).orderBy("tick").collect()] == [
         "computed", "retain", "retain", "minimum", "computed", "retain"]
+
+
+def _points(n, seed=1):
+    rnd = random.Random(seed)
+    start = datetime.datetime(2024, 1, 1)
+    return [(start + datetime.timedelta(seconds=rnd.randrange(7200)), f"h{rnd.randrange(3)}", rnd.choice(["tx", "rx"]), rnd.choice([None, rnd.randrange(10**9)])) for _ in range(n)]
+
+
+@pytest.mark.parametrize("per_trigger,fold", [(1, 2), (1, 32), (None, 32)])
+def test_windows_do_not_depend_on_batches(spark, tmp_path, per_trigger, fold):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    rows = _points(600)
+    df = spark.createDataFrame([*rows, (None, "h0", "tx", 5)], "ts timestamp, host string, direction string, value long")
+    df.repartition(5).write.parquet(src)
+    stream = S.file_stream(spark, src, per_trigger)
+    W.window_sums_stream(stream, out, "120 seconds", ["host"], W.network_sums(), fold_every=fold)
+    expected = {}
+    for ts, host, direction, value in rows:
+        cell = expected.setdefault((ts.replace(minute=ts.minute // 2 * 2, second=0), host), {"tx": [], "rx": []})
+        if value is not None:
+            cell[direction].append(value)
+    found = {(r.window_start, r.host): (r.tx_sum, r.tx_n, r.rx_sum, r.rx_n) for r in W.window_sums(stream, out, "120 seconds", ["host"], W.network_sums()).collect()}
+    assert found == {k: (sum(c["tx"]) if c["tx"] else None, len(c["tx"]), sum(c["rx"]) if c["rx"] else None, len(c["rx"])) for k, c in expected.items()}
+    assert W.late_rows(stream, out).isEmpty()
+
+
+def test_late_rows_are_the_difference(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    df = spark.createDataFrame([(b, *r) for b in range(4) for r in _points(100, b)], "b int, ts timestamp, host string, direction string, value long")
+    write_in_order(df, src, "b", range(4))
+    stream = S.file_stream(spark, src, 1)
+    W.window_sums_stream(stream, out, "120 seconds", ["host"], W.network_sums(), lateness="30 minutes")
+    newest, late, counted = None, [], 0
+    for b in range(4):
+        rows = _points(100, b)
+        behind = [r for r in rows if newest and r[0] < newest - datetime.timedelta(minutes=30)]
+        late += behind
+        counted += sum(r[3] is not None for r in rows if r not in behind)
+        newest = max([newest] * bool(newest) + [r[0] for r in rows])
+    assert sorted((r.ts, r.host) for r in W.late_rows(stream, out).collect()) == sorted(r[:2] for r in late) and late
+    sums = W.window_sums(stream, out, "120 seconds", ["host"], W.network_sums())
+    assert sums.agg(F.sum(F.col("tx_n") + F.col("rx_n"))).first()[0] == counted
+
+
+def test_an_empty_snapshot_ends_all_topics(spark, tmp_path):
+    rows = [("c", 1, "a"), ("c", 1, "b"), ("d", 1, "x"), ("c", 2, None), ("c", 3, "a"), ("d", 3, "x"), ("c", 4, None), ("d", 4, "x")]
+    df = spark.createDataFrame(rows, "cluster_id string, snapshot_ts int, topic string")
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    write_in_order(df, src, "snapshot_ts", [1, 2, 3, 4])
+    S.topics_done_stream(S.file_stream(spark, src, 1), out)
+    got = sorted((r.cluster_id, r.snapshot_ts, r.topic) for r in S.emitted(spark, out, df.schema).collect())
+    assert got == [("c", 2, "a"), ("c", 2, "b"), ("c", 4, "a")]
+    # The state is the newest sets alone, however many batches there were.
+    assert spark.read.parquet(f"{out}-last/batch_id=3").count() == 2
