@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from replicalens.llm import classifier, exact, mixing, near, packing
+from replicalens.llm import classifier, exact, mixing, packing, simhash
 from replicalens.session import materialize
 
 
@@ -21,8 +21,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: linked at a Jaccard similarity of 0.8 or more of their five-word shingles."""
-    return near.one_per_group(docs, width=5, similarity=0.8)
+    """One document of each group of near copies, linked where the SimHashes of their 3-word shingles differ in 2 bits or fewer."""
+    return simhash.one_per_group(docs, width=3, radius=2, segments=2)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
