@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -30,37 +33,76 @@ def _byte_of_symbol() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _Bytes:
+    """The bytes of a vocabulary's tokens, in one row."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.tokens = tokens
+        self.sizes = np.array([len(t) for t in tokens], np.int64)
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+
+
+def _ranked_encoder(model: dict, vocabulary: dict[int, bytes]):
+    """Encoder of byte-level BPE whose ids are in the order of the merges, by ranks, which is several times as fast; None for other vocabularies."""
+    import tiktoken
+
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ids = [model["vocab"].get(a + b) for a, b in merges]
+    if ids != list(range(256, 256 + len(ids))):
+        return None
+    ranks = {vocabulary[i]: i for i in range(256 + len(ids))}
+    encoding = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda texts: list(map(encoding.encode_ordinary, texts))
+
+
+def _listed_encoder(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 @dataclass
 class Tokenizers:
     """Tokenizers A (byte-level BPE) and B (pieces with byte fallback) and the bytes of their tokens."""
 
     path_a: str
     path_b: str
-    bytes_a: dict[int, bytes] = field(init=False)
-    bytes_b: list[bytes] = field(init=False)
 
     def __post_init__(self) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(self.path_a)
-        self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=self.path_b)
+        with open(self.path_a, encoding="utf-8") as f:
+            model = json.load(f)["model"]
         symbol = _byte_of_symbol()
-        self.bytes_a = {i: bytes(symbol.get(c, 63) for c in t) for t, i in self.a.get_vocab().items()}
+        vocabulary = {i: bytes(symbol.get(c, 63) for c in t) for t, i in model["vocab"].items()}
+        self.bytes_a = _Bytes([vocabulary.get(i, b"") for i in range(max(vocabulary) + 1)])
+        self.encode_a = _ranked_encoder(model, vocabulary) or _listed_encoder(self.path_a)
         pieces = [(i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces]
+        self.bytes_b = _Bytes([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces])
         #: Pieces that run over the end of a word would forbid cutting there.
         self.cuts = not any(re.search("[^▁]▁", p) for _, p in pieces)
+        #: Every token of either side with each mark that can follow it, in turn.
+        self.marked = [f"{i}{mark}" for mark in _MARKS for i in range(max(len(vocabulary), len(pieces)))]
 
     def segments(self, text: str) -> list[str]:
         """Space and text in parts that are tokenized alike alone and together."""
         return _CUT.split(" " + text) if self.cuts else [" " + text]
 
     def encode(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [e.ids for e in self.a.encode_batch(segments, add_special_tokens=False)]
-        return a, self.b.encode([s[1:] for s in segments], num_threads=1)
+        return self.encode_a(segments), self.b.encode([s[1:] for s in segments], num_threads=1)
+
+
+#: What follows a token in the spelling of groups: another of its side, the other side, another group, another segment.
+_MARKS = (",", "|", ";", "\n")
+#: One space, then no white space: such segments may also be tokenized side by side.
+_CLEAN = re.compile(r" \S+")
+TOGETHER = 256
 
 
 @cache
@@ -81,39 +123,70 @@ class Segments:
     owner: np.ndarray
 
 
-def _spelled(a: list[int], b: list[int], group_a: np.ndarray, group_b: np.ndarray) -> str:
-    parts: dict[int, tuple[list[str], list[str]]] = {}
-    for side, (ids, groups) in enumerate(((a, group_a.tolist()), (b, group_b.tolist()))):
-        for token, g in zip(ids, groups):
-            parts.setdefault(g, ([], []))[side].append(str(token))
-    return ";".join(f"{','.join(x)}|{','.join(y)}" for x, y in parts.values())
+def _flat(ids: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(ids), np.int64)
 
 
-def align(tok: Tokenizers, segments: list[str], spell: bool) -> Segments:
-    """Groups and links of segments. All good segments are laid on one line of bytes, whose token ends are compared at once."""
+def _tokens(tok: Tokenizers, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of A and B, segment by segment, each segment's number of them, whether its tokens' bytes are its own (of others, no tokens), and the
+    order of segments; ``good`` alone is by segment number.
+
+    Clean segments are tokenized many at a time: both tokenizers cut between them. Bytes are compared over the lot, one by one only if they differ.
+    """
+    clean = np.array([_CLEAN.fullmatch(s) is not None for s in segments]) if tok.cuts else np.zeros(len(segments), bool)
+    alike, others = np.flatnonzero(clean), np.flatnonzero(~clean)
+    batches = [alike[i:i + TOGETHER] for i in range(0, len(alike), TOGETHER)] + [others[i:i + 1] for i in range(len(others))]
+    order = np.concatenate(batches) if batches else np.zeros(0, np.int64)
+    texts = ["".join([segments[i] for i in b]) for b in batches]
+    sides = [_flat(x) for x in tok.encode(texts)]
+    whole = "".join(texts).encode()
+    ends = np.cumsum([len(segments[i].encode()) for i in order], dtype=np.int64)
+    if all(t.joined(ids) == whole for t, ids in zip((tok.bytes_a, tok.bytes_b), sides)):
+        good = np.ones(len(segments), bool)
+        counts = [np.diff(np.searchsorted(np.cumsum(t.sizes[ids]), ends, "right"), prepend=0) for t, ids in zip((tok.bytes_a, tok.bytes_b), sides)]
+        return *sides, *counts, good, order
     a, b = tok.encode(segments)
-    good = np.array([b"".join(map(tok.bytes_a.__getitem__, x)) == b"".join(map(tok.bytes_b.__getitem__, y)) == s.encode()
-                     for s, x, y in zip(segments, a, b)], dtype=bool)
+    good = np.array([tok.bytes_a.joined(np.array(x, np.int64)) == tok.bytes_b.joined(np.array(y, np.int64)) == s.encode() for s, x, y in zip(segments, a, b)], dtype=bool)
     a, b = ([x if g else [] for x, g in zip(ids, good)] for ids in (a, b))
-    counts_a, counts_b = (np.array([len(x) for x in ids], np.int64) for ids in (a, b))
-    ids_a, ids_b = (np.array([t for x in ids for t in x], np.int64) for ids in (a, b))
-    end_a = np.cumsum([len(tok.bytes_a[t]) for t in ids_a.tolist()], dtype=np.int64)
-    end_b = np.cumsum([len(tok.bytes_b[t]) for t in ids_b.tolist()], dtype=np.int64)
-    start_a, start_b = (np.concatenate([[0], e[:-1]]).astype(np.int64) if len(e) else e for e in (end_a, end_b))
-    ends = np.intersect1d(end_a, end_b)
-    segment_a = np.repeat(np.arange(len(segments)), counts_a)
-    group_a, group_b = np.searchsorted(ends, end_a), np.searchsorted(ends, end_b)
-    last = np.flatnonzero(np.diff(group_a, append=-1))  # the A token that ends a group
+    return _flat(a), _flat(b), *(np.array([len(x) for x in ids], np.int64) for ids in (a, b)), good, np.arange(len(segments))
+
+
+def _spelled(tok: Tokenizers, ids: np.ndarray, group: np.ndarray, side: np.ndarray, segment: np.ndarray, segments: int) -> list[str]:
+    """Groups of each segment, written out; tokens come by group and side."""
+    last = np.zeros(len(ids), np.int64)
+    last[:-1] = np.where(segment[1:] != segment[:-1], 3, np.where(group[1:] != group[:-1], 2, side[1:] != side[:-1]))
+    last[-1:] = 3
+    words = len(tok.marked) // len(_MARKS)
+    text = "".join(map(tok.marked.__getitem__, (last * words + ids).tolist()))
+    out = [""] * segments
+    for s, spelled in zip(segment[last == 3].tolist(), text.split("\n")):
+        out[s] = spelled
+    return out
+
+
+def align(tok: Tokenizers, segments: list[str], spell: bool) -> Segments:
+    """Groups and links of segments. All good segments are laid on one line of bytes, whose token ends are compared at once."""
+    ids_a, ids_b, counts_a, counts_b, good, order = _tokens(tok, segments)
+    end_a, end_b = np.cumsum(tok.bytes_a.sizes[ids_a]), np.cumsum(tok.bytes_b.sizes[ids_b])
+    start_a, start_b = end_a - tok.bytes_a.sizes[ids_a], end_b - tok.bytes_b.sizes[ids_b]
     first, stop = np.searchsorted(end_b, start_a, "right"), np.searchsorted(start_b, end_a, "left")
+    closes = end_b[stop - 1] == end_a if len(ids_a) else np.zeros(0, bool)  # a B token ends where this A token does
+    group_a = np.cumsum(closes) - closes
+    group_b = np.searchsorted(end_a[closes], end_b)
+    segment_a, segment_b = (np.repeat(order, c) for c in (counts_a, counts_b))
     overlaps = stop - first
     link_a = np.repeat(np.arange(len(ids_a)), overlaps)
     link_b = np.arange(len(link_a)) - np.repeat(np.cumsum(overlaps) - overlaps, overlaps) + np.repeat(first, overlaps)
     keys = (ids_a[link_a].astype(np.uint64) << np.uint64(32)) | ids_b[link_b].astype(np.uint64)
     groups = []
     if spell:
-        cut_a, cut_b = np.cumsum(counts_a)[:-1], np.cumsum(counts_b)[:-1]
-        groups = [_spelled(*x) for x in zip(a, b, np.split(group_a, cut_a), np.split(group_b, cut_b))]
-    return Segments(good, counts_a, counts_b, np.bincount(segment_a[last], minlength=len(segments)), groups, keys, segment_a[link_a])
+        side = np.repeat([0, 1], [len(ids_a), len(ids_b)])
+        group = np.concatenate([group_a, group_b])
+        turn = np.argsort(2 * group + side, kind="stable")
+        groups = _spelled(tok, np.concatenate([ids_a, ids_b])[turn], group[turn], side[turn], np.concatenate([segment_a, segment_b])[turn], len(segments))
+    n_a, n_b = np.zeros(len(segments), np.int64), np.zeros(len(segments), np.int64)
+    n_a[order], n_b[order] = counts_a, counts_b
+    return Segments(good, n_a, n_b, np.bincount(segment_a[closes], minlength=len(segments)), groups, keys, segment_a[link_a])
 
 
 class _Memory:
@@ -125,13 +198,13 @@ class _Memory:
     def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
         """Segment numbers of all texts in turn, each text's number of them, and the segments."""
         parts = [self.tok.segments(t) if t else [] for t in texts]
-        new = list({s for p in parts for s in p if s not in self.at})
+        new = list(set(chain.from_iterable(parts)).difference(self.at))
         if new:
             self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
             self.size += sum(map(len, new))
             self.learn(new)
         sizes = np.array([len(p) for p in parts], np.int64)
-        flat = np.fromiter((self.at[s] for p in parts for s in p), np.int64, int(sizes.sum()))
+        flat = np.fromiter(map(self.at.__getitem__, chain.from_iterable(parts)), np.int64, int(sizes.sum()))
         return flat, sizes, parts
 
     def full(self) -> bool:
@@ -258,7 +331,7 @@ def _finish(counts: PairCounts):
     return run
 
 
-def count_pairs(docs: DataFrame, path_a: str, path_b: str, text: str = "text", shards: int = 64, fan_in: int = 16, segments: int = 300_000) -> PairCounts:
+def count_pairs(docs: DataFrame, path_a: str, path_b: str, text: str = "text", shards: int = 64, fan_in: int = 16, segments: int = 250_000) -> PairCounts:
     """Corpus-wide counts of the token pairs that links hold, over whole texts.
 
     Each task counts its links and writes them per shard. Distinct pairs of a shard get a minimal perfect hash; then the tasks' counts become
@@ -332,7 +405,7 @@ def _align_texts(counts: PairCounts, segments: int):
     return run
 
 
-def aligned(docs: DataFrame, counts: PairCounts, doc_id: str = "doc_id", text: str = "text", segments: int = 300_000) -> DataFrame:
+def aligned(docs: DataFrame, counts: PairCounts, doc_id: str = "doc_id", text: str = "text", segments: int = 250_000) -> DataFrame:
     """For every row: doc_id, numbers of A and B tokens, groups and links, links that are their B id's best, the links' counts summed, and the groups
     written out (``a1,a2|b1;a3|b2,b3``).
 

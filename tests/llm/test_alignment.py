@@ -9,6 +9,8 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
+
 from tests.llm.test_operators import ODD, frame, got
 
 from replicalens.llm import alignment, queries
@@ -20,12 +22,13 @@ SF = "/root/testdata/sf0.001"
 
 def plain(rows):
     """Rows of the contract, spelled groups in place of their hash."""
-    tok = alignment.tokenizers(A, B)
+    tok, whole = alignment.tokenizers(A, B), Tokenizer.from_file(A)
+    whole.encode_special_tokens = True
     docs, counts = [], Counter()
     for d, t in rows:
-        a = tok.a.encode(" " + (t or ""), add_special_tokens=False).ids
+        a = whole.encode(" " + (t or ""), add_special_tokens=False).ids
         b = tok.b.encode(t or "")
-        bytes_a, bytes_b = [tok.bytes_a[i] for i in a], [tok.bytes_b[i] for i in b]
+        bytes_a, bytes_b = [tok.bytes_a.tokens[i] for i in a], [tok.bytes_b.tokens[i] for i in b]
         if not t or not b"".join(bytes_a) == b"".join(bytes_b) == (" " + t).encode():
             docs.append((d, [], [], [], []))
             continue
@@ -111,3 +114,10 @@ def test_perfect_hash(n):
     own[hashed.numbers(keys)] = keys
     at = hashed.numbers(other)
     assert not ((at >= 0) & (own[at] == other)).any() if len(keys) else (at == -1).all()
+
+
+def test_ranks_and_merges_give_the_same_tokens():
+    listed, tok = alignment._listed_encoder(A), alignment.tokenizers(A, B)
+    texts = [" " + t for _, t in odd_texts()] + [" " + (t or "") for _, t in ODD]
+    assert tok.encode_a(texts) == listed(texts)
+    assert tok.encode_a.__qualname__.startswith("_ranked")
