@@ -14,7 +14,8 @@ metric. A region is what lies in the cells of one pivot, and a pivot is always m
   symmetric difference with p, near p. Near sets that share none of it are linked only if both are linked to p.
 
 Cells whose members are in one component already are done. Each turn measures one pivot per cell, never all pairs, and its cells hold only
-members ranked below their pivot, so the turns end.
+members ranked below their pivot, so the turns end. After a turn, regions that unfinished cells connect and that are small together (LEAF sets and
+LEAF_SHINGLES shingles) are joined in one task; each set goes there once. Larger ones take another turn.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from replicalens.session import materialize
 
 #: Cells of more members than this have several pivots, in the first few turns.
 CROWD, PIVOTS, SPLIT_TURNS = 64, 4, 3
+LEAF, LEAF_SHINGLES = 512, 2_000_000
 LONGS = pa.list_(pa.int64())
 
 
@@ -116,6 +118,48 @@ def _deeper(regions: DataFrame, measured: DataFrame, eps: float) -> DataFrame:
     return sets.select("x", "p", "score", "ring", F.inline("told")).select(F.xxhash64("p", "ring", "side", "e").alias("cell"), "x", "score")
 
 
+def _leaf(width: int, percent: int):
+    def run(group: pa.Table) -> pa.Table:
+        """Links that join the components of a small region: each one unites two, so there are fewer than sets."""
+        sets = [shingle_set(t, width) for t in raw(group.column("text"))]
+        xs, root = group.column("x").to_pylist(), {}
+        own = group.column("label").to_pylist()
+
+        def find(a: int) -> int:
+            while root.get(a, a) != a:
+                root[a] = a = root.get(root[a], root[a])
+            return a
+
+        links = []
+        order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+        for j, b in enumerate(order):
+            for a in reversed(order[:j]):  # smaller sets, the nearest in size first
+                if 100 * len(sets[a]) < percent * len(sets[b]):
+                    break
+                if find(own[a]) != find(own[b]):
+                    shared = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                    if 100 * shared >= percent * (len(sets[a]) + len(sets[b]) - shared):
+                        root[find(own[a])] = find(own[b])
+                        links.append((xs[a], xs[b]))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return run
+
+
+def _leaves(pairs: DataFrame, classes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(x, region, label) of small regions, and (x) of the others. A region is what ``pairs`` connect."""
+    named = components(pairs, "x", "p").select(F.col("node").alias("x"), F.col("label").alias("region")).join(classes.select("x", "n"), "x")
+    size = named.groupBy("region").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
+    named = materialize(named.join(size, "region").withColumn("small", (F.col("sets") <= LEAF) & (F.col("shingles") <= LEAF_SHINGLES)), "leaves")
+    return named.filter("small").join(labels, "x").select("x", "region", "label"), named.filter("not small").select("x")
+
+
+def _labels(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(x, label): the smallest set of every set's component."""
+    named = components(links).select(F.col("node").alias("x"), F.col("label").alias("new"))
+    return materialize(classes.select("x").join(named, "x", "left").select("x", F.coalesce("new", "x").alias("label")), "labels")
+
+
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: size of the document's set of distinct ``width``-word shingles, and the smallest doc_id reachable
     by links, itself included. Documents link when 100 * intersection >= ``percent`` * union of their sets (1 to 99).
@@ -152,12 +196,17 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
             texts = materialize(one.join(needed, "text_key").select("x", "text"), "texts")
         measured = materialize(_with_texts(pairs, texts).mapInArrow(
             _measured(counts, width, percent), "x long, p long, n_x long, n_p long, shared long, far array<long>, near array<long>"), "measured")
-        found = measured.filter(100 * F.col("shared") >= percent * (F.col("n_x") + F.col("n_p") - F.col("shared"))).select(F.col("x").alias("a"), F.col("p").alias("b"))
-        links = found if links is None else links.unionAll(found)
-        named = components(links).select(F.col("node").alias("x"), F.col("label").alias("new"))
-        labels = materialize(classes.select("x").join(named, "x", "left").select("x", F.coalesce("new", "x").alias("label")), "labels")
+        near = measured.filter(100 * F.col("shared") >= percent * (F.col("n_x") + F.col("n_p") - F.col("shared"))).select(F.col("x").alias("a"), F.col("p").alias("b"))
+        links = near if links is None else links.unionAll(near)
+        labels = _labels(classes, links)
         still = regions.join(labels, "x").groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("cell")
-        cells = _deeper(regions.join(still, "cell"), measured, 1 - percent / 100)
+        live = materialize(regions.join(still, "cell"), "live")
+        small, large = _leaves(live.select("x", "p").distinct(), classes, labels)
+        links = links.unionAll(materialize(small.join(texts, "x").groupBy("region").applyInArrow(_leaf(width, percent), "a long, b long"), "leaf-links"))
+        labels = _labels(classes, links)
+        if large.isEmpty():
+            break
+        cells = _deeper(live.join(large, "x", "left_semi"), measured, 1 - percent / 100)
         turn += 1
     named = classes.join(labels, "x")
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))

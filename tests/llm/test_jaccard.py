@@ -80,9 +80,10 @@ def test_odd_rows(spark):
     assert got(jaccard.similar_documents(frame(spark, [(1, None), (2, " ")]))) == [(1, 0, 1), (2, 0, 2)]
 
 
-@pytest.mark.parametrize("seed,percent,width", [(1, 85, 4), (2, 85, 4), (3, 70, 4), (4, 50, 3), (5, 95, 1)])
-def test_families(spark, seed, percent, width, monkeypatch):
+@pytest.mark.parametrize("seed,percent,width,leaf", [(1, 85, 4, 512), (2, 85, 4, 3), (3, 70, 4, 12), (4, 50, 3, 3), (5, 95, 1, 12)])
+def test_families(spark, seed, percent, width, leaf, monkeypatch):
     monkeypatch.setattr(jaccard, "CROWD", 5)
+    monkeypatch.setattr(jaccard, "LEAF", leaf)
     rows = families(seed)
     found = got(jaccard.similar_documents(frame(spark, rows).repartition(4), width=width, percent=percent))
     expected = plain(rows, width, percent)
