@@ -191,7 +191,8 @@ def assess(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
     kept unless one of the two probabilities is above ``limit``. ``host`` and ``path`` default to the source, and the source with the language.
 
     Without labels all evidence is 0 and all priors are 1/2, and everything is kept. Null text has the features of an empty one; null hosts and paths are
-    sites of their own; repeated rows are assessed alike. All columns of ``docs`` are kept and may have any names.
+    sites of their own; repeated rows are assessed alike. All columns of ``docs`` are kept and may have any names;
+    one named ``assessment`` is replaced.
     """
     host = F.col("source") if host is None else host
     path = F.concat_ws("/", F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("lang"), F.lit(""))) if path is None else path
@@ -205,12 +206,12 @@ def assess(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
     table = materialize(priors[0].join(other, *same).select(F.col("host").alias("__host"), F.col("path").alias("__path"), *[f"{t}_prior" for t in TARGETS]), "site-priors")
     table = table.select("__host", "__path", F.struct(*[f"{t}_prior" for t in TARGETS]).alias("__priors"))
     model = fit_evidence(docs, labels, doc_id=doc_id, text=text, **fit)
-    rows = docs.withColumns({"__h": host.cast("string"), "__p": path.cast("string"), "__e": evidence(model, F.col(text))})
-    rows = rows.join(table, F.col("__h").eqNullSafe(F.col("__host")) & F.col("__p").eqNullSafe(F.col("__path")), "left")
-    odds = {t: F.col(f"__e.{t}") + F.log(F.col(f"__priors.{t}_prior") / (1 - F.col(f"__priors.{t}_prior"))) for t in TARGETS}
+    rows = docs.select(host.cast("string").alias("host"), path.cast("string").alias("path"), evidence(model, F.col(text)).alias("e"), F.struct(*docs.columns).alias("row"))
+    rows = rows.join(table, F.col("host").eqNullSafe(F.col("__host")) & F.col("path").eqNullSafe(F.col("__path")), "left")
+    odds = {t: F.col(f"e.{t}") + F.log(F.col(f"__priors.{t}_prior") / (1 - F.col(f"__priors.{t}_prior"))) for t in TARGETS}
     chance = {t: 1 / (1 + F.exp(-odds[t])) for t in TARGETS}
-    fields = [F.col("__h").alias("host"), F.col("__p").alias("path")]
+    fields = [F.col("host"), F.col("path")]
     for t in TARGETS:
-        fields += [F.col(f"__e.{t}").alias(f"{t}_evidence"), F.col(f"__priors.{t}_prior").alias(f"{t}_prior"), chance[t].alias(f"{t}_probability")]
+        fields += [F.col(f"e.{t}").alias(f"{t}_evidence"), F.col(f"__priors.{t}_prior").alias(f"{t}_prior"), chance[t].alias(f"{t}_probability")]
     fields.append(F.greatest(*chance.values()).__le__(limit).alias("kept"))
-    return rows.select(*docs.columns, F.struct(*fields).alias("assessment"))
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "assessment"], F.struct(*fields).alias("assessment"))

@@ -42,12 +42,11 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sa
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: int = 16) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay: of each group one row with the largest doc_id."""
-    winners = exact_groups(docs, doc_id, text, salts).filter("kept").select(
-        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__keep")).distinct()
+    """The rows of ``docs``, all columns, that stay: of each group one row with the largest doc_id. Columns may have any names."""
+    winners = exact_groups(docs, doc_id, text, salts).filter("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("keep")).distinct()
     content = F.coalesce(F.col(text), F.lit(""))
-    marked = docs.withColumn("__digest", F.sha2(content, 256))
-    kept = marked.join(winners, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__keep")))
+    marked = docs.select(F.sha2(content, 256).alias("digest"), F.col(doc_id).alias("own"), F.xxhash64(content).alias("hash"), F.octet_length(content).alias("bytes"),
+                         F.struct(*docs.columns).alias("row"))
+    kept = marked.join(winners, F.col("own").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("keep")))
     # What is left to drop are repeats of one document's row: same id, digest, second hash and length.
-    repeats = kept.withColumns({"__hash": F.xxhash64(content), "__bytes": F.octet_length(content)})
-    return repeats.dropDuplicates(["__digest", "__id", "__hash", "__bytes"]).select(*docs.columns)
+    return kept.dropDuplicates(["digest", "id", "hash", "bytes"]).select("row.*")

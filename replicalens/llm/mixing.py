@@ -73,16 +73,17 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as ``mix`` takes its document.
 
-    Rows of one doc_id share that id's copies: with ids repeated, their sum is spread as evenly as whole numbers allow.
+    Rows of one doc_id share that id's copies: with ids repeated, their sum is spread as evenly as whole numbers allow. Columns may have any names.
     """
     taken = mix(docs, doc_id=doc_id, text=text, **options)
-    per_id = taken.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(
-        F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    source = options.get("source", "source")
-    marked = docs.withColumn("__words", word_count(F.col(text)) if options.get("size") is None else options["size"])
-    found = marked.join(per_id, F.col(doc_id).eqNullSafe(F.col("__id")) & F.col(source).eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")))
-    several = Window.partitionBy("__id", "__source", "__size").orderBy(F.xxhash64(text))
-    number = F.when(F.col("__rows") > 1, F.row_number().over(several)).otherwise(1)
-    each = F.floor(F.col("__copies") / F.col("__rows")) + (number <= F.col("__copies") % F.col("__rows")).cast("int")
-    times = found.withColumn("__times", each.cast("int")).filter("__times > 0")
-    return times.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    per_id = taken.groupBy(F.col("doc_id").alias("id"), F.col("source").alias("origin"), F.col("size").alias("words")).agg(
+        F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    words = word_count(F.col(text)) if options.get("size") is None else options["size"].cast("bigint")
+    marked = docs.select(F.col(doc_id).alias("own"), F.col(options.get("source", "source")).alias("from"), words.alias("size"), F.xxhash64(text).alias("h"),
+                         F.struct(*docs.columns).alias("row"))
+    found = marked.join(per_id, F.col("own").eqNullSafe(F.col("id")) & F.col("from").eqNullSafe(F.col("origin")) & (F.col("size") == F.col("words")))
+    several = Window.partitionBy("id", "origin", "words").orderBy("h")
+    number = F.when(F.col("rows") > 1, F.row_number().over(several)).otherwise(1)
+    each = F.floor(F.col("copies") / F.col("rows")) + (number <= F.col("copies") % F.col("rows")).cast("int")
+    times = found.withColumn("times", each.cast("int")).filter("times > 0")
+    return times.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

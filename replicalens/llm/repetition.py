@@ -88,8 +88,36 @@ def longest_common_prefixes(rank: np.ndarray, steps: list[np.ndarray], ends: np.
     return suffixes, lcp
 
 
+def maximal_repeats(suffixes: np.ndarray, lcp: np.ndarray, before: np.ndarray, least: int) -> list[int]:
+    """One position of each maximal repeat of ``least`` words or more: an LCP interval whose suffixes don't all follow the same word.
+
+    ``before`` is what stands before each position, a text's first position having its own value. Intervals are closed from a stack, which holds
+    for each the one value before its suffixes, or None once they differ.
+    """
+    found = []
+    deep = np.flatnonzero(lcp >= least)
+    for run in np.split(deep, np.flatnonzero(np.diff(deep) > 1) + 1):
+        if not len(run):
+            continue
+        stack: list[list] = []
+        heights = [*lcp[run].tolist(), 0]
+        at = suffixes[np.r_[run - 1, run[-1:]]].tolist()
+        lefts = before[at].tolist()
+        for height, position, carry in zip(heights, at, lefts):
+            while stack and stack[-1][0] > height:
+                _, left = stack.pop()
+                carry = carry if left == carry else None
+                if carry is None:
+                    found.append(position)
+            if stack and stack[-1][0] == height:
+                stack[-1][1] = carry if stack[-1][1] == carry else None
+            elif height:
+                stack.append([height, carry])
+    return found
+
+
 def repetition(documents: list[list[bytes]], least: int) -> np.ndarray:
-    """Per document: words in repeated 3-word windows, repeats (LCP intervals of at least ``least`` words), words they cover, longest repeat."""
+    """Per document: words in repeated 3-word windows, maximal repeats of at least ``least`` words, words they cover, longest repeat."""
     sizes = np.array([len(d) for d in documents], dtype=np.int64)
     out = np.zeros((len(documents), 4), dtype=np.int64)
     n = int(sizes.sum())
@@ -113,8 +141,9 @@ def repetition(documents: list[list[bytes]], least: int) -> np.ndarray:
 
     three, deep = np.flatnonzero(longest >= 3), np.flatnonzero(longest >= least)
     out[:, 0] = covered(three, np.full(len(three), 3))
-    begins = np.flatnonzero((lcp >= least) & (np.r_[0, lcp[:-1]] < least))
-    out[:, 1] = np.bincount(doc[suffixes[begins]], minlength=len(documents))
+    before = np.r_[-1, ids[:-1]]
+    before[(last - sizes)[sizes > 0]] = -1 - np.flatnonzero(sizes > 0)
+    out[:, 1] = np.bincount(doc[np.array(maximal_repeats(suffixes, lcp, before, least), np.int64)], minlength=len(documents))
     out[:, 2] = covered(deep, longest[deep])
     np.maximum.at(out[:, 3], doc, longest)
     return out

@@ -144,11 +144,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2, segments: int = 2,
-                  hot: int = 8) -> DataFrame:
-    """The rows of ``docs``, all columns, of which one per component stays: the smallest doc_id's, one row of its repeats."""
+                  hot: int = 64) -> DataFrame:
+    """The rows of ``docs``, all columns, of which one per component stays: the smallest doc_id's, one row of its repeats.
+
+    Null and empty texts are one component, as in ``near_duplicates``; null ids stay only in components without others. The row travels in one struct, so its
+    columns may have any names.
+    """
     classes = near_duplicates(docs, doc_id, text, width, radius, segments, hot)
-    keep = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("__id"), F.col("fp").alias("__keep"), F.col("label").alias("__group")).distinct()
-    marked = docs.withColumn("__fp", fingerprint(F.col(text), width))
-    kept = marked.join(keep, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__keep")))
-    return kept.dropDuplicates(["__group"]).select(*docs.columns)
+    keep = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id"), F.col("fp").alias("keep"), F.col("label").alias("group")).distinct()
+    marked = docs.select(fingerprint(F.col(text), width).alias("fp"), F.col(doc_id).alias("own"), F.struct(*docs.columns).alias("row"))
+    kept = marked.join(keep, F.col("own").eqNullSafe(F.col("id")) & (F.col("fp") == F.col("keep")))
+    return kept.dropDuplicates(["group"]).select("row.*")

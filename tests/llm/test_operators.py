@@ -186,6 +186,40 @@ def test_repetition(rows, docs, odd):
         assert got(found.select("doc_id", *columns)) == sorted(((d, *brute.repetition(t)) for d, t in short), key=str)
 
 
+def plain_maximal_repeats(w, least):
+    return {tuple(w[i:i + n]) for i in range(len(w)) for j in range(i) if i == 0 or j == 0 or w[i - 1] != w[j - 1]
+            for n in [next((k for k in range(len(w) - i) if w[i + k] != w[j + k]), len(w) - i)] if n >= least}
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_maximal_repeats(seed):
+    rng = random.Random(seed)
+    docs = [[rng.choice([b"a", b"b", b"c"][:rng.randint(1, 3)]) for _ in range(rng.randint(0, 60))] for _ in range(12)]
+    twenty = [b"w%d" % i for i in range(20)]
+    docs.append([*twenty, b"x", *twenty, b"y", *twenty[:10], b"z"])
+    for least in (1, 3, 8):
+        assert repetition.repetition(docs, least)[:, 1].tolist() == [len(plain_maximal_repeats(d, least)) for d in docs]
+    assert repetition.repetition(docs, 8)[-1, 1] == 2
+
+
+def clashing(spark):
+    """Columns named like those that operators make on their way."""
+    rows = [(i, f"some words that stand in text number {i} " * 3, "en", f"s{i % 2}", i, "id", 1.5, "e", "h", i, "k", "g", "r", "w") for i in range(12)]
+    return spark.createDataFrame(rows + rows[:2], "doc_id long, text string, lang string, source string, __id long, id string, fp double, __e string, __h string, row long, "
+                                                  "__text string, `group` string, digest string, words string")
+
+
+def test_clashing_columns(spark):
+    docs = clashing(spark)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(6)], "doc_id long, quality int, toxic int")
+    for out in (exact.drop_copies(docs), simhash.one_per_group(docs), mixing.repeated(docs), classifier.assess(docs, labels).drop("assessment")):
+        assert out.columns == docs.columns
+        found = {tuple(r) for r in out.collect()}
+        assert found and found <= {tuple(r) for r in docs.collect()}
+    again = classifier.assess(docs.withColumn("assessment", F.lit(1)), labels)
+    assert again.columns == [*docs.columns, "assessment"] and again.filter("assessment.kept is null").count() == 0
+
+
 def test_repetition_verdict(spark):
     clean = " ".join(f"w{i}" for i in range(200))
     half = " ".join(f"w{i}" for i in range(100))

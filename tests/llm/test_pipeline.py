@@ -29,7 +29,7 @@ def test_pipeline(spark):
         if name == "exact dedup":
             assert len({t for _, t in rows}) == len(rows) == docs.select("text").distinct().count()
         if name == "near dedup":
-            plain = brute.simhash([(r["doc_id"], r["text"]) for r in docs.collect()], radius=7)
+            plain = brute.simhash([(r["doc_id"], r["text"]) for r in docs.collect()])
             assert sorted(d for d, _ in rows) == sorted({c for _, _, c in plain})
         sizes.append(len(rows))
         docs = out
