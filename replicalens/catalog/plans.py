@@ -33,13 +33,14 @@ def plan_state(t):
         (F.col("is_live") == 0).alias("is_missing"), (b % 8 == 6).alias("is_new"))
 
 
-def placement_sql(rf: int, z: str, cap: str) -> str:
+def placement_sql(rf: int, z: str, cap: str, layered: bool = False) -> str:
     before = "rows between unbounded preceding and 1 preceding"
+    klass = "length(bin(z))" if layered else "0"
     return f"""
 with p as (select cluster_id, topic, partition_id, {z} as z, md5(concat(topic, ':', partition_id)) as h from fx_partition_size),
-l as (select *, coalesce(sum(z) over (partition by cluster_id order by h, topic, partition_id {before}), 0) as off,
-        row_number() over (partition by cluster_id order by h, topic, partition_id) - 1 as ordinal,
-        sum(z) over (partition by cluster_id) as zt from p),
+l as (select *, coalesce(sum(z) over (partition by cluster_id, {klass} order by h, topic, partition_id {before}), 0) as off,
+        row_number() over (partition by cluster_id order by {klass} desc, h, topic, partition_id) - 1 as ordinal,
+        sum(z) over (partition by cluster_id) as zt, sum(z) over (partition by cluster_id, {klass}) as zq from p),
 b as (select cluster_id, broker_id, greatest({cap}, 1) as c, md5(cast(broker_id as varchar)) as bh,
         case when rack = '' then concat('#', broker_id) else rack end as grp, rack as lane from fx_broker_meta),
 pg as (select cluster_id, grp, sum(c) as cg from b group by all),
@@ -59,7 +60,7 @@ seg as (
   select cluster_id, broker_id, 2 * zt * m + (2 * zt * ({rf} - m) * cum) // fc, 2 * zt * m + (2 * zt * ({rf} - m) * (cum + c)) // fc
   from (select b.*, coalesce(sum(c) over (partition by cluster_id order by lane, bh, broker_id {before}), 0) as cum
         from b anti join cut using (cluster_id, grp)) q join base using (cluster_id) join zt using (cluster_id)),
-slots as (select cluster_id, topic, partition_id, ordinal, k, 2 * off + 2 * k * zt + z as pos from l, (select unnest(range(0, {rf})) as k) ks)
+slots as (select cluster_id, topic, partition_id, ordinal, k, ((2 * off + z) * zt) // zq + 2 * k * zt as pos from l, (select unnest(range(0, {rf})) as k) ks)
 select cluster_id, topic, partition_id, cast((k + ordinal) % {rf} as int) as idx, broker_id
 from slots join seg using (cluster_id) where pos >= s and pos < e"""
 
@@ -75,10 +76,47 @@ def _(t):
     # With four replicas the largest racks exceed their share, so the capped case is exercised. Storage is ample here:
     # placement by share alone is what the twin states. Scarce storage is the next query.
     ample = t.broker_meta.withColumn("storage_free", F.col("storage_free") * 1000000)
-    placed, _errors = placement.place(t.partition_size, ample, 4, strategy="storage", optimization="storage")
+    placed, _errors = placement.place(t.partition_size, ample, 4, strategy="storage")
     return placed
 
 
+LARGEST_FIRST_SQL = placement_sql(3, "size_bytes", "storage_free * 1000000", layered=True)
+
+
+@query("pln01_place_largest_first", LARGEST_FIRST_SQL)
+def _(t):
+    ample = t.broker_meta.withColumn("storage_free", F.col("storage_free") * 1000000)
+    placed, _errors = placement.place(t.partition_size, ample, 3, strategy="storage", optimization="storage")
+    return placed
+
+
+@query("pln01_optimization_spread", f"""
+with placed as (select 'storage' as optimization, * from ({LARGEST_FIRST_SQL}) a
+  union all select 'distribution', * from ({placement_sql(3, "size_bytes", "storage_free * 1000000")}) b),
+sized as (select p.*, size_bytes, length(bin(size_bytes)) = max(length(bin(size_bytes))) over (partition by cluster_id) as large
+  from placed p join fx_partition_size using (cluster_id, topic, partition_id)),
+held as (select optimization, cluster_id, broker_id, sum(case when large then size_bytes end) as large_bytes, sum(size_bytes) as bytes from sized group by all)
+select optimization, cluster_id, cast(max(coalesce(large_bytes, 0) * 1000 // storage_free) - min(coalesce(large_bytes, 0) * 1000 // storage_free) as bigint) as large_spread,
+  cast(max(coalesce(bytes, 0) * 1000 // storage_free) - min(coalesce(bytes, 0) * 1000 // storage_free) as bigint) as spread
+from held join fx_broker_meta using (cluster_id, broker_id) group by optimization, cluster_id""")
+def _(t):
+    # How unevenly brokers are filled, in thousandths of their free storage: by partitions of the largest size class, and by all.
+    ample = t.broker_meta.withColumn("storage_free", F.col("storage_free") * 1000000)
+    size = t.partition_size.select(*PARTITION_KEY, "size_bytes", F.length(F.bin("size_bytes")).alias("class"))
+    size = size.join(size.groupBy("cluster_id").agg(F.max("class").alias("top")), "cluster_id")
+    out = None
+    for optimization in ("storage", "distribution"):
+        placed, _errors = placement.place(t.partition_size, ample, 3, strategy="storage", optimization=optimization)
+        held = placed.join(size, PARTITION_KEY).groupBy("cluster_id", "broker_id").agg(
+            F.sum(F.when(F.col("class") == F.col("top"), F.col("size_bytes"))).alias("large"), F.sum("size_bytes").alias("bytes")).join(
+            t.broker_meta.select("cluster_id", "broker_id", "storage_free"), ["cluster_id", "broker_id"])
+        share = lambda c: F.expr(f"coalesce({c}, 0) * 1000 div storage_free")
+        one = held.groupBy("cluster_id").agg((F.max(share("large")) - F.min(share("large"))).alias("large_spread"), (F.max(share("bytes")) - F.min(share("bytes"))).alias("spread"))
+        one = one.select(F.lit(optimization).alias("optimization"), "cluster_id", "large_spread", "spread")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def room_summary(t, st, placed, errors, rf):
     """What storage placement promises, counted per cluster; ``missed`` are errors that an allowed broker could have held."""
     z = t.partition_size.select(*PARTITION_KEY, F.greatest("size_bytes", F.lit(1)).alias("z"))

@@ -95,15 +95,17 @@ def place(partitions: DataFrame, brokers: DataFrame, rf: int, *, strategy: str =
     """Place every replica of ``partitions`` (.., size_bytes for storage) on ``brokers`` (cluster_id, broker_id,
     rack, storage_free). Returns (replica rows, error rows).
 
-    ``count`` gives every broker an equal share, ``storage`` a share by free storage. Replica order is
-    rotated by the partition's ordinal, which spreads leaders evenly under both optimizations. Under ``storage`` a
+    ``count`` gives every broker an equal share, ``storage`` a share by free storage. Under ``storage``, ``optimization`` says what is evened
+    out: ``distribution`` lays all partitions on one line, so a broker's bytes fit its share, of whatever sizes; ``storage`` lays each
+    size class (a doubling of size) over all brokers by itself, so each broker gets its share of the largest partitions too, and the
+    largest are the first to get room. Replica order is rotated by the partition's ordinal, which spreads leaders evenly under both. Under ``storage`` a
     broker never holds more than its free storage: what it turns away goes to brokers with room, and a slot that no
     allowed broker can hold is one error row.
     """
     if strategy not in ("count", "storage"):
-        raise ValueError(f"Invalid rebuild strategy '{strategy}'")
+        raise ValueError(f"unknown placement strategy: {strategy}")
     if optimization not in ("distribution", "storage"):
-        raise ValueError(f"Invalid optimization '{optimization}'")
+        raise ValueError(f"unknown optimization of placement: {optimization}")
     if rf < 1:
         raise ValueError("replication factor must be positive")
     z = F.lit(1).cast("bigint") if strategy == "count" else F.greatest(
@@ -114,18 +116,24 @@ def place(partitions: DataFrame, brokers: DataFrame, rf: int, *, strategy: str =
         *PARTITION_KEY, F.lit("partition size not found").alias("error"))
     if strategy == "storage":
         partitions = partitions.filter("size_bytes is not null")
-    parts = materialize(
-        partitions.select(*PARTITION_KEY, z.alias("z"), h.alias("h"), hash_bucket(h).alias("hb")), "placement-parts")
+    layered = strategy == "storage" and optimization == "storage"
+    klass = F.length(F.bin(z)) if layered else F.lit(0)
+    bucket = F.concat(F.lpad((64 - klass).cast("string"), 2, "0"), hash_bucket(h)) if layered else hash_bucket(h)
+    parts = materialize(partitions.select(*PARTITION_KEY, z.alias("z"), h.alias("h"), klass.alias("class"), bucket.alias("hb")), "placement-parts")
     groups = materialize(broker_groups(brokers.withColumn("capacity", cap), rf, min_racks), "placement-groups")
     line = parts.groupBy("cluster_id").agg(F.sum("z").alias("z_total"), F.count(F.lit(1)).alias("n"))
     cells = f"greatest(1, least({MAX_CELLS}, n * {rf} div {SLOTS_PER_CELL}))"
     line = line.select("cluster_id", "z_total", F.expr(f"greatest(1, (2 * {rf} * z_total) div {cells})").alias("width"))
     laid = prefix_sums(parts, ["cluster_id"], ["hb"], ["h", "topic", "partition_id"], {"at": F.col("z"), "ordinal": F.lit(1)})
     ok = groups.filter("feasible").select("cluster_id").distinct()
+    # A class of its own length is stretched over the whole line; without classes this is the line itself.
+    larger = Window.partitionBy("cluster_id").orderBy(F.desc("class")).rowsBetween(Window.unboundedPreceding, -1)
+    classes = parts.groupBy("cluster_id", "class").agg(F.sum("z").alias("z_class")).withColumn("z_larger", F.coalesce(F.sum("z_class").over(larger), F.lit(0)))
+    laid = laid.join(classes, ["cluster_id", "class"])
     slots = (laid.join(ok, "cluster_id", "left_semi").join(line, "cluster_id")
-             .select(*PARTITION_KEY, "ordinal", "z", "at", "z_total", "width",
+             .select(*PARTITION_KEY, "ordinal", "z", "at", "z_total", "z_class", "z_larger", "width",
                      F.explode(F.sequence(F.lit(0), F.lit(rf - 1))).alias("k"))
-             .withColumn("pos", F.expr("2 * at + 2 * k * z_total + z"))
+             .withColumn("pos", F.expr("cast((cast(2 * (at - z_larger) + z as decimal(38,0)) * z_total) div z_class as bigint) + 2 * k * z_total"))
              .select(*PARTITION_KEY, "ordinal", "k", "pos", "width"))
     hit = locate(slots, broker_segments(groups, line, rf), ["cluster_id"], "pos", "seg_start", "seg_end", "width", ["broker_id"])
     placed = hit.select(*PARTITION_KEY, F.pmod(F.col("k") + F.col("ordinal"), F.lit(rf)).cast("int").alias("idx"), "broker_id")

@@ -50,7 +50,7 @@ def repair(partition_map: DataFrame, state: DataFrame, *, strategy: str = "count
     error means that no allowed broker holds the slot.
     """
     if strategy not in ("count", "storage"):
-        raise ValueError(f"Invalid rebuild strategy '{strategy}'")
+        raise ValueError(f"unknown repair strategy: {strategy}")
     if strategy == "count":
         kept, new, errors, _away = _pass(partition_map, state, strategy, None, size_factor, min_racks)
         return kept.unionByName(new), errors
