@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from replicalens.operators.filters import active_overrides
+from replicalens.plans.lines import since_reset
 from replicalens.schemas import BROKER_KEY
 
 
@@ -113,13 +114,10 @@ def applied_rates(ticks: DataFrame, limits: Limits, threshold: float) -> DataFra
 def failure_modes(ticks: DataFrame, threshold: int) -> DataFrame:
     """Mode of every (cluster_id, tick, complete): ``computed``; ``retain`` while consecutive incomplete ticks
     are at most ``threshold``; then ``minimum``. Complete metrics reset the count."""
-    by_time = Window.partitionBy("cluster_id").orderBy("tick")
-    run = F.sum(F.col("complete").cast("int")).over(by_time)
-    in_run = Window.partitionBy("cluster_id", "run").orderBy("tick")
-    n = F.sum((~F.col("complete")).cast("bigint")).over(in_run)
-    return ticks.withColumn("run", run).withColumn("failures", F.when(F.col("complete"), 0).otherwise(n)).select(
-        "cluster_id", "tick", "failures",
-        F.when(F.col("complete"), "computed").when(F.col("failures") > threshold, "minimum").otherwise("retain").alias("mode"))
+    counted = since_reset(ticks, ["cluster_id"], "tick", F.col("complete"), ~F.col("complete"))
+    return counted.select(
+        "cluster_id", "tick", F.col("n").alias("failures"),
+        F.when(F.col("complete"), "computed").when(F.col("n") > threshold, "minimum").otherwise("retain").alias("mode"))
 
 
 def topics_done(snapshots: DataFrame, key: list[str] | None = None, ticks: DataFrame | None = None) -> DataFrame:
@@ -175,11 +173,10 @@ def clear_decisions(ticks: DataFrame, cleanup_after: int) -> DataFrame:
     active tick, or every ``cleanup_after`` ticks since the last clear (or since the start).
     """
     busy = F.col("reassigning") | F.col("overrides_set")
-    w = Window.partitionBy("cluster_id").orderBy("tick")
-    runs = ticks.withColumn("run", F.sum(busy.cast("int")).over(w)).withColumn("idle", ~busy)
-    pos = F.row_number().over(Window.partitionBy("cluster_id", "run", "idle").orderBy("tick")) - 1
-    clear = F.col("idle") & (F.col("pos") % cleanup_after == 0) & ((F.col("run") > 0) | (F.col("pos") > 0))
-    return runs.withColumn("pos", pos).select("cluster_id", "tick", clear.alias("clear"))
+    counted = since_reset(ticks, ["cluster_id"], "tick", busy, ~busy)
+    pos = F.col("n") - 1
+    clear = ~busy & (pos % cleanup_after == 0) & (F.col("seen") | (pos > 0))
+    return counted.select("cluster_id", "tick", clear.alias("clear"))
 
 
 def brokers_to_clear(live: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from replicalens.session import materialize
+
 BUCKET_DIGITS = 3
 
 
@@ -85,3 +87,24 @@ def locate(
         .select(*group, *[F.col(f"__pt.{c}").alias(c) for c in payload],
                 *[F.col(f"__hit.{c}").alias(c) for c in keep])
     )
+
+
+def since_reset(df: DataFrame, group: Sequence[str], order: str, reset: Column, counted: Column) -> DataFrame:
+    """``df`` with ``n``, the ``counted`` rows after the last ``reset`` row up to this one, and ``seen``, whether there has been a reset, per ``group`` in ``order``.
+
+    Rows are range-partitioned on (group, order) and counted within their partition; what a partition's last run leaves open is carried
+    to the next partitions until one has a reset. So a group of any length is counted in many tasks, and one row per partition is carried.
+    """
+    group = list(group)
+    marked = df.withColumns({"__reset": F.coalesce(reset, F.lit(False)).cast("int"), "__counted": F.coalesce(counted, F.lit(False)).cast("bigint")})
+    rows = materialize(marked.repartitionByRange(*group, order).withColumn("__part", F.spark_partition_id()), "scan")
+    inside = Window.partitionBy(*group, "__part").orderBy(order)
+    rows = rows.withColumn("__run", F.sum("__reset").over(inside))
+    rows = rows.withColumn("__n", F.sum("__counted").over(Window.partitionBy(*group, "__part", "__run").orderBy(order)))
+    parts = rows.groupBy(*group, "__part").agg(F.max("__run").alias("resets"), F.max_by("__n", F.struct("__run", order)).alias("open"))
+    by_part = Window.partitionBy(*group).orderBy("__part")
+    parts = parts.withColumn("stretch", F.sum(F.sign("resets")).over(by_part))
+    parts = parts.withColumn("carried", F.sum("open").over(Window.partitionBy(*group, "stretch").orderBy("__part")))
+    parts = parts.select(*group, "__part", F.lag("carried", 1, 0).over(by_part).alias("__carry"), (F.lag("stretch", 1, 0.0).over(by_part) > 0).alias("__before"))
+    return rows.join(parts, [*group, "__part"]).select(
+        *df.columns, (F.col("__n") + F.when(F.col("__run") == 0, F.col("__carry")).otherwise(0)).alias("n"), ((F.col("__run") > 0) | F.col("__before")).alias("seen"))
