@@ -245,6 +245,6 @@ with known as (select distinct p.cluster_id, p.broker_id, d.broker_id is not nul
   from fx_provided_brokers p left join fx_discovered_brokers d on d.cluster_id = p.cluster_id and d.broker_id = p.broker_id)
 select cluster_id, broker_id, 'invalid broker id' as reason from known where not ok
 union all
-select cluster_id, null, 'too few brokers' from known group by cluster_id having count(case when ok then 1 end) < 1000000""")
+select cluster_id, null, 'too few brokers' from known group by cluster_id having count(case when ok then 1 end) < 60""")
 def _(t):
-    return O.check_requested_brokers(t.provided_brokers, t.discovered_brokers, 1000000)
+    return O.check_requested_brokers(t.provided_brokers, t.discovered_brokers, 60)

@@ -219,12 +219,14 @@ def _(t):
 
 
 @query("scl18_replica_assignment", """
-select cluster_id, topic, partition_id // 1000 as range_id, count(*) as partitions,
-       string_agg(array_to_string(replicas, ','), ';' order by partition_id) as assignment
-from fx_map group by cluster_id, topic, partition_id // 1000""")
+with r as (select cluster_id, topic, partition_id // 1000 as range_id, count(*) as partitions, max(partition_id % 1000) as top from fx_map group by all),
+s as (select *, unnest(range(0, top + 1)) as i from r)
+select s.cluster_id, s.topic, s.range_id, s.partitions, string_agg(coalesce(array_to_string(m.replicas, ','), ''), ';' order by i) as assignment
+from s left join fx_map m on m.cluster_id = s.cluster_id and m.topic = s.topic and m.partition_id = s.range_id * 1000 + s.i
+group by s.cluster_id, s.topic, s.range_id, s.partitions""")
 def _(t):
     from replicalens.operators.aggregates import replica_assignment
 
     return replica_assignment(t.partition_map, 1000).select(
-        "cluster_id", "topic", "range_id", F.size("assignment").cast("bigint").alias("partitions"),
-        F.array_join(F.transform("assignment", lambda r: A.render(r)), ";").alias("assignment"))
+        "cluster_id", "topic", "range_id", F.size(F.filter("assignment", lambda r: r.isNotNull())).cast("bigint").alias("partitions"),
+        F.array_join(F.transform("assignment", lambda r: F.coalesce(A.render(r), F.lit(""))), ";").alias("assignment"))

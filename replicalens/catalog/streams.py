@@ -233,16 +233,22 @@ def _(t):
 
 
 @query("str06_tag_lifecycle", """
-with alive as (select distinct cast(broker_id as varchar) as object_id from fx_replicas),
-o as (select object_id, max(case when k = 'tagMarkedForDeletionTime' then v end) as mark, object_id in (select object_id from alive) as live from fx_tags group by object_id),
-s as (select object_id, case when live then null else coalesce(mark, '1704100000') end as mark from o)
-select 'broker' as object_type, t.object_id, k, v from fx_tags t join s using (object_id)
+with tags as (select * from fx_tags union all select 'topic', concat('t', n_nationkey), 'pool', n_name from nation
+  union all select 'topic', concat('t', n_nationkey), 'tagMarkedForDeletionTime', cast(1704060000 + 4000 * n_nationkey as varchar) from nation where n_nationkey % 2 = 0),
+alive as (select distinct 'broker' as object_type, cast(broker_id as varchar) as object_id from fx_replicas union select 'topic', topic from fx_replicas),
+o as (select object_type, object_id, max(case when k = 'tagMarkedForDeletionTime' then v end) as mark, (object_type, object_id) in (select object_type, object_id from alive) as live
+  from tags group by all),
+s as (select object_type, object_id, case when live then null else coalesce(mark, '1704100000') end as mark from o)
+select object_type, t.object_id, k, v from tags t join s using (object_type, object_id)
 where k <> 'tagMarkedForDeletionTime' and not (mark is not null and 1704120000 - cast(mark as bigint) > 36000)
-union all select 'broker', object_id, 'tagMarkedForDeletionTime', mark from s where mark is not null and not 1704120000 - cast(mark as bigint) > 36000""")
+union all select object_type, object_id, 'tagMarkedForDeletionTime', mark from s where mark is not null and not 1704120000 - cast(mark as bigint) > 36000""")
 def _(t):
     live = t.replicas.select("broker_id").distinct()
     topics = t.replicas.select("topic").distinct()
-    marked = G.mark_for_deletion(t.tags, live, topics, F.lit(1704100000))
+    n, mark = F.col("n_nationkey"), F.lit("tagMarkedForDeletionTime")
+    named = t.table("nation").select(F.lit("topic").alias("object_type"), F.concat(F.lit("t"), n.cast("string")).alias("object_id"), F.when(
+        n % 2 == 0, F.create_map(F.lit("pool"), F.col("n_name"), mark, (1704060000 + 4000 * n).cast("string"))).otherwise(F.create_map(F.lit("pool"), F.col("n_name"))).alias("tags"))
+    marked = G.mark_for_deletion(t.tags.unionByName(named), live, topics, F.lit(1704100000))
     return G.delete_stale(marked, F.lit(1704120000), 36000).select("object_type", "object_id", F.explode("tags").alias("k", "v"))
 
 

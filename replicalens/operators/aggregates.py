@@ -142,10 +142,11 @@ def partition_sizes_from_points(points: DataFrame, partition: list[str], window:
 
 
 def replica_assignment(partition_map: DataFrame, span: int = 1000) -> DataFrame:
-    """Ordered replica lists indexed by partition, in ranges of ``span`` partition ids."""
-    return partition_map.groupBy("cluster_id", "topic", F.expr(f"partition_id div {span}").alias("range_id")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("partition_id", "replicas"))), lambda x: x["replicas"])
-        .alias("assignment"))
+    """Replica lists by partition, in ranges of ``span`` partition ids: position i of a range is partition ``range_id * span + i``, null if there is no such one."""
+    position = F.pmod(F.col("partition_id"), F.lit(span)).cast("int")
+    ranges = partition_map.groupBy("cluster_id", "topic", F.expr(f"partition_id div {span}").alias("range_id")).agg(
+        F.map_from_entries(F.collect_list(F.struct(position.alias("k"), F.col("replicas").alias("v")))).alias("held"), F.max(position).alias("top"))
+    return ranges.select("cluster_id", "topic", "range_id", F.transform(F.sequence(F.lit(0), F.col("top")), lambda i: F.try_element_at("held", i)).alias("assignment"))
 
 
 def topic_key(table: DataFrame, name: str = "topic") -> list[str]:
