@@ -13,9 +13,12 @@ metric. A region is what lies in the cells of one pivot, and a pivot is always m
 * Recursion. Sets of one ring meet again by what tells them from the pivot: by x - p if both have more than t beyond p; or else by the
   symmetric difference with p, near p. Near sets that share none of it are linked only if both are linked to p.
 
+* Bounds. Merging shingles only brings sets closer, so the distance of their histograms over BINS hash classes, a byte each, is a lower bound. It
+  rules most pairs out before texts are fetched.
+
 Cells whose members are in one component already are done. Each turn measures one pivot per cell, never all pairs, and its cells hold only
-members ranked below their pivot, so the turns end. After a turn, regions that unfinished cells connect and that are small together (LEAF sets and
-LEAF_SHINGLES shingles) are joined in one task; each set goes there once. Larger ones take another turn.
+members ranked below their pivot, so the turns end. After a turn, what is left of a region in unfinished cells is joined in one task if it is small (LEAF
+sets and LEAF_SHINGLES shingles). Larger ones take another turn.
 """
 
 from __future__ import annotations
@@ -36,8 +39,12 @@ from replicalens.session import materialize
 
 #: Cells of more members than this have several pivots, in the first few turns.
 CROWD, PIVOTS, SPLIT_TURNS = 64, 4, 3
-LEAF, LEAF_SHINGLES = 512, 2_000_000
+#: The largest region, in sets and in shingles, that one task joins.
+LEAF, LEAF_SHINGLES = 8192, 4_000_000
+#: Cells of the histogram that bounds distances from below.
+BINS = 64
 LONGS = pa.list_(pa.int64())
+MEASURED = "x long, p long, n_x long, n_p long, shared long, far array<long>, near array<long>"
 
 
 def beyond(n: int, percent: int) -> int:
@@ -45,11 +52,16 @@ def beyond(n: int, percent: int) -> int:
     return n - -(-percent * n // 100)
 
 
+def histogram(shingles: np.ndarray) -> np.ndarray:
+    """How many of a set's shingles fall into each class, 255 at most: differences of these never exceed those of the sets."""
+    return np.minimum(np.bincount((shingles >> np.uint64(7)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8)
+
+
 def _sets(counts: Counts, width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per text: digest and size of its set, how common its shingles are, and its first shingles."""
         for batch in slices(batches, 2):
-            digests, sizes, scores, firsts = [], [], [], []
+            digests, sizes, scores, firsts, bins = [], [], [], [], []
             for part in few(batch.column(2)):
                 for text in raw(part):
                     s = shingle_set(text, width)
@@ -57,12 +69,32 @@ def _sets(counts: Counts, width: int, percent: int):
                     sizes.append(len(s))
                     scores.append(float(np.log2(counts.of(s)).mean()) if len(s) else 0.0)
                     firsts.append(counts.ordered(s)[:beyond(len(s), percent) + 1].view(np.int64))
+                    bins.append(histogram(s).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(scores),
-                                              pa.array(firsts, LONGS)], ["doc_id", "text_key", "digest", "n", "score", "firsts"])
+                                              pa.array(firsts, LONGS), pa.array(bins, pa.binary())], ["doc_id", "text_key", "digest", "n", "score", "firsts", "bins"])
 
     return run
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number of shingles that sets with these histograms differ in."""
+    return np.abs(a.astype(np.int16) - b.astype(np.int16)).sum(axis=-1, dtype=np.int64)
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(x, p) of ``pairs`` that their histograms don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (3, 4)]
+            fine = (100 + percent) * _apart(*bins) <= (100 - percent) * batch.column(2).to_numpy()
+            yield batch.select([0, 1]).filter(pa.array(fine))
+
+    own = classes.select("x", F.col("n").alias("n_x"), F.col("bins").alias("bins_x"))
+    other = classes.select(F.col("x").alias("p"), F.col("n").alias("n_p"), F.col("bins").alias("bins_p"))
+    return pairs.join(own, "x").join(other, "p").select("x", "p", (F.col("n_x") + F.col("n_p")).alias("n"), "bins_x", "bins_p").mapInArrow(run, "x long, p long")
+
+
 def _measured(counts: Counts, width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Exact overlap of a set and a pivot, and the first shingles of what tells the set from the pivot, far and near."""
@@ -132,10 +164,12 @@ def _leaf(width: int, percent: int):
 
         links = []
         order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+        sizes, bins = np.array([len(sets[i]) for i in order]), np.stack([histogram(sets[i]) for i in order])
         for j, b in enumerate(order):
-            for a in reversed(order[:j]):  # smaller sets, the nearest in size first
-                if 100 * len(sets[a]) < percent * len(sets[b]):
-                    break
+            low = np.searchsorted(sizes, -(-percent * sizes[j] // 100))  # smaller sets that are not too small
+            near = low + np.flatnonzero((100 + percent) * _apart(bins[low:j], bins[j]) <= (100 - percent) * (sizes[low:j] + sizes[j]))
+            for i in near.tolist():
+                a = order[i]
                 if find(own[a]) != find(own[b]):
                     shared = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
                     if 100 * shared >= percent * (len(sets[a]) + len(sets[b]) - shared):
@@ -146,12 +180,13 @@ def _leaf(width: int, percent: int):
     return run
 
 
-def _leaves(pairs: DataFrame, classes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(x, region, label) of small regions, and (x) of the others. A region is what ``pairs`` connect."""
-    named = components(pairs, "x", "p").select(F.col("node").alias("x"), F.col("label").alias("region")).join(classes.select("x", "n"), "x")
-    size = named.groupBy("region").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
-    named = materialize(named.join(size, "region").withColumn("small", (F.col("sets") <= LEAF) & (F.col("shingles") <= LEAF_SHINGLES)), "leaves")
-    return named.filter("small").join(labels, "x").select("x", "region", "label"), named.filter("not small").select("x")
+def _leaves(live: DataFrame, classes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(x, p, label) of small regions, and (p) of the others. A pivot is measured against its whole region already and is left out of it."""
+    members = live.filter("x <> p").select("x", "p").distinct().join(classes.select("x", "n"), "x")
+    size = members.groupBy("p").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
+    size = materialize(size.withColumn("small", (F.col("sets") <= LEAF) & (F.col("shingles") <= LEAF_SHINGLES)), "region-sizes")
+    small = members.join(size.filter("small and sets > 1").select("p"), "p").join(labels, "x").select("x", "p", "label")
+    return small, size.filter("not small").select("p")
 
 
 def _labels(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -171,8 +206,8 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), F.col(text).alias("text"))
     counts = count_shingles(source.select("text"), width)
-    rows = materialize(source.mapInArrow(_sets(counts, width, percent), "doc_id long, text_key string, digest binary, n long, score double, firsts array<long>"), "sets")
-    classes = rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.first(F.struct("text_key", "n", "score", "firsts")).alias("s")).select(
+    rows = materialize(source.mapInArrow(_sets(counts, width, percent), "doc_id long, text_key string, digest binary, n long, score double, firsts array<long>, bins binary"), "sets")
+    classes = rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.first(F.struct("text_key", "n", "score", "firsts", "bins")).alias("s")).select(
         F.monotonically_increasing_id().alias("x"), "digest", "first", "s.*")
     classes = materialize(classes, "classes")
 
@@ -194,19 +229,23 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
             # Copies of a text meet in the map tasks, so one text of many rows is no hot key.
             one = source.groupBy("text_key").agg(F.first("text").alias("text"))
             texts = materialize(one.join(needed, "text_key").select("x", "text"), "texts")
-        measured = materialize(_with_texts(pairs, texts).mapInArrow(
-            _measured(counts, width, percent), "x long, p long, n_x long, n_p long, shared long, far array<long>, near array<long>"), "measured")
+        measure = lambda some: materialize(_with_texts(some, texts).mapInArrow(_measured(counts, width, percent), MEASURED), "measured")
+        possible = materialize(_possible(pairs, classes, percent), "possible-pairs")
+        measured = measure(possible)
         near = measured.filter(100 * F.col("shared") >= percent * (F.col("n_x") + F.col("n_p") - F.col("shared"))).select(F.col("x").alias("a"), F.col("p").alias("b"))
         links = near if links is None else links.unionAll(near)
         labels = _labels(classes, links)
         still = regions.join(labels, "x").groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("cell")
         live = materialize(regions.join(still, "cell"), "live")
-        small, large = _leaves(live.select("x", "p").distinct(), classes, labels)
-        links = links.unionAll(materialize(small.join(texts, "x").groupBy("region").applyInArrow(_leaf(width, percent), "a long, b long"), "leaf-links"))
+        small, large = _leaves(live, classes, labels)
+        links = links.unionAll(materialize(small.join(texts, "x").groupBy("p").applyInArrow(_leaf(width, percent), "a long, b long"), "leaf-links"))
         labels = _labels(classes, links)
         if large.isEmpty():
             break
-        cells = _deeper(live.join(large, "x", "left_semi"), measured, 1 - percent / 100)
+        live = live.join(large, "p", "left_semi")
+        # Distances to all pivots order what is left, also those that are no links.
+        others = live.filter("x <> p").select("x", "p").distinct().join(possible, ["x", "p"], "left_anti")
+        cells = _deeper(live, measured.unionByName(measure(others)), 1 - percent / 100)
         turn += 1
     named = classes.join(labels, "x")
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
