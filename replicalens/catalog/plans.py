@@ -425,7 +425,14 @@ def _(t):
     return maps.chunk_changes(t.replicas, t.replicas_after, t.broker_meta, 7)
 
 
-@query("pln12_chunked_maps", CHUNK_SQL + """
+@query("pln12_chunked_maps", CHUNK_SQL.replace("// 7", "// (select greatest(1, count(*) // 3) from supplier)") + """
+select s.cluster_id, s.topic, s.partition_id, x.at as chunk, idx, case when s.chunk <= x.at then final else broker_id end as broker_id
+from s join (select distinct cluster_id, chunk as at from s where broker_id <> final) x using (cluster_id)""")
+def _(t):
+    return maps.chunked_maps(t.replicas, t.replicas_after, t.broker_meta, max(1, t.table("supplier").count() // 3))
+
+
+@query("pln12_chunk_spans", CHUNK_SQL + """
 select cluster_id, topic, partition_id, idx, -1 as from_chunk, case when broker_id <> final then chunk::int end as to_chunk, broker_id from s
 union all select cluster_id, topic, partition_id, idx, chunk::int, null, final from s where broker_id <> final""")
 def _(t):
