@@ -13,6 +13,7 @@ from replicalens.operators import joins as J
 from replicalens.operators import sets as S
 from replicalens.operators import windows as W
 from replicalens.schemas import PARTITION_KEY
+from replicalens.session import materialize
 
 add_adapters({
     "fx_degree": """
@@ -310,7 +311,9 @@ def _(t):
 
 @query("set02_merge_maps", "select cluster_id, topic, partition_id, broker_id, idx from fx_replicas")
 def _(t):
-    one = lambda n: t.partition_map.filter(F.col("topic") == n)
+    # The map is built once, not once per topic.
+    whole = materialize(t.partition_map, "map-by-topic")
+    one = lambda n: whole.filter(F.col("topic") == n)
     return to_replicas(S.merge_maps(*[one(f"t{i}") for i in range(1, 6)]))
 
 
