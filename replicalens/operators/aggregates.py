@@ -19,20 +19,22 @@ def use_stats(replicas: DataFrame) -> DataFrame:
 
 
 def edges(partition_map: DataFrame) -> DataFrame:
-    """Distinct (a, b) of brokers sharing a replica set, each broker paired with itself too.
+    """Distinct (a, b) with a <= b of brokers sharing a replica set, each broker paired with itself too.
 
     Replica sets are deduplicated before they fan out, so the many partitions sharing a set cost one
-    row. The fan-out of a set is the square of the replication factor.
+    row. The fan-out of a set is half the square of the replication factor.
     """
     sets = partition_map.select("cluster_id", replica_set_key(F.col("replicas")).alias("s")).distinct()
-    return (sets.select("cluster_id", "s", F.explode("s").alias("a"))
-            .select("cluster_id", "a", F.explode("s").alias("b")).distinct())
+    return (sets.select("cluster_id", "s", F.posexplode("s").alias("i", "a"))
+            .select("cluster_id", "a", F.explode(F.expr("slice(s, i + 1, size(s))")).alias("b")).distinct())
 
 
 def degrees(partition_map: DataFrame) -> DataFrame:
     """Distinct co-located brokers of every broker; 0 for a broker that is always alone."""
-    return edges(partition_map).groupBy("cluster_id", F.col("a").alias("broker_id")).agg(
-        (F.count(F.lit(1)) - 1).alias("degree"))
+    # Every pair is made once, lower id first, and counts for both its ends; (a, a) stands for the broker alone and counts 0.
+    pairs = edges(partition_map).withColumn("n", F.when(F.col("a").eqNullSafe(F.col("b")), 0).otherwise(1))
+    return pairs.select("cluster_id", F.explode(F.array_distinct(F.array("a", "b"))).alias("broker_id"), "n").groupBy(
+        "cluster_id", "broker_id").agg(F.sum("n").alias("degree"))
 
 
 def degree_stats(degree: DataFrame) -> DataFrame:
