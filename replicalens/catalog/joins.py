@@ -19,7 +19,7 @@ def targets(t):
 def throttled(t):
     from replicalens.functions.text import throttled_entry
 
-    r = J.reassigning_replicas(t.topic_state, targets(t))
+    r = J.reassigning_replicas(t.dealt(t.topic_state), t.dealt(targets(t)))
     return r.withColumn("entry", throttled_entry(F.col("partition_id"), F.col("broker_id")))
 
 
@@ -105,7 +105,7 @@ def _(t):
 with x as (select cluster_id, topic, partition_id, list(target_broker order by idx) as g from fx_reassignment group by cluster_id, topic, partition_id)
 select cluster_id, topic, partition_id, array_to_string(coalesce(g, replicas), ',') as replicas from fx_map left join x using (cluster_id, topic, partition_id)""")
 def _(t):
-    return J.overlay_reassignments(t.partition_map, targets(t)).withColumn("replicas", render(F.col("replicas")))
+    return J.overlay_reassignments(t.dealt(t.partition_map), t.dealt(targets(t))).withColumn("replicas", render(F.col("replicas")))
 
 
 REASSIGNING_SQL = """
@@ -121,13 +121,13 @@ e as (
 
 @query("jn09_reassigning_replicas", REASSIGNING_SQL + "select cluster_id, topic, partition_id, role, broker_id from e")
 def _(t):
-    return J.reassigning_replicas(t.topic_state, targets(t))
+    return J.reassigning_replicas(t.dealt(t.topic_state), t.dealt(targets(t)))
 
 
 @query("jn09_reassigning_brokers", REASSIGNING_SQL + """
 select cluster_id, broker_id, bool_or(role = 'leaders') as is_src, bool_or(role = 'followers') as is_dst from e group by cluster_id, broker_id""")
 def _(t):
-    return J.reassigning_brokers(J.reassigning_replicas(t.topic_state, targets(t)))
+    return J.reassigning_brokers(J.reassigning_replicas(t.dealt(t.topic_state), t.dealt(targets(t))))
 
 
 @query("jn10_overridden_topics", """

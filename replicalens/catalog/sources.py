@@ -22,7 +22,7 @@ def rendered(df):
 
 @query("src01_map_documents", MAP_SQL)
 def _(t):
-    return rendered(D.parse_maps(K.map_documents(t.partition_map)))
+    return rendered(D.parse_maps(K.map_documents(t.partition_map, tasks=t.tasks)))
 
 
 @query("src02_topic_states", """
@@ -62,7 +62,7 @@ def _(t):
 select cluster_id, topic, partition_id, string_agg(target_broker, ',' order by idx) as replicas
 from fx_reassignment where not (topic = 't2' and partition_id // 1000 = 0) group by cluster_id, topic, partition_id""")
 def _(t):
-    docs = K.map_documents(targets(t))
+    docs = K.map_documents(targets(t), tasks=t.tasks)
     torn = (F.col("map_name") == "t2") & (F.col("range_id") == 0)
     return rendered(D.parse_reassignments(docs.withColumn("doc", F.when(~torn, F.col("doc")))))
 
@@ -147,7 +147,7 @@ select 'combined', cluster_id, null, topic, partition_id, array_to_string(replic
 def _(t):
     spark, path = t.spark, scratch_path(t.spark, "map-documents")
     maps = t.partition_map.withColumn("phase", F.lit(1)).unionByName(t.partition_map_after.withColumn("phase", F.lit(2)))
-    K.write_map_documents(maps, path, combined=True)
+    K.write_map_documents(maps, path, combined=True, tasks=2 * t.tasks)
     one = D.parse_maps(D.read_text_documents(spark, f"{path}/by_topic")).withColumn("kind", F.lit("by_topic"))
     both = D.parse_maps(D.read_text_documents(spark, f"{path}/combined")).withColumn("kind", F.lit("combined"))
     cols = ["kind", "cluster_id", "map_name", "topic", "partition_id"]

@@ -15,25 +15,29 @@ from replicalens.functions.text import has_any_key, merge_tags, without_keys
 from replicalens.schemas import RESERVED_BROKER_KEYS, RESERVED_TOPIC_KEYS, STUB_BROKER_ID
 
 
-def map_documents(maps: DataFrame, span: int = 1000) -> DataFrame:
+def map_documents(maps: DataFrame, span: int = 1000, tasks: int | None = None) -> DataFrame:
     """Partition-map documents per (cluster, map name, id range).
 
     ``maps`` may carry ``phase`` (from 1); with it, documents are named ``<topic>-phase<N>``. Open slots
-    are written as the reserved id.
+    are written as the reserved id. ``tasks`` is how many tasks build the documents; without it Spark sizes them by compressed bytes,
+    of which lists in memory take many times as much.
     """
     name = (F.concat_ws("-phase", "topic", F.col("phase").cast("string")) if "phase" in maps.columns else F.col("topic"))
     ids = F.transform("replicas", lambda b: F.coalesce(b, F.lit(STUB_BROKER_ID)))
     part = F.struct(F.col("topic"), F.col("partition_id").alias("partition"), ids.alias("replicas"))
-    g = maps.groupBy("cluster_id", name.alias("map_name"), F.expr(f"partition_id div {span}").alias("range_id")).agg(
-        F.array_sort(F.collect_list(part)).alias("partitions"))
+    key = ["cluster_id", "map_name", "range_id"]
+    rows = maps.select("cluster_id", name.alias("map_name"), F.expr(f"partition_id div {span}").alias("range_id"), part.alias("part"))
+    if tasks is not None:
+        rows = rows.repartition(tasks, *key)
+    g = rows.groupBy(*key).agg(F.array_sort(F.collect_list("part")).alias("partitions"))
     return g.select("cluster_id", "map_name", "range_id",
                     F.to_json(F.struct(F.lit(1).alias("version"), "partitions")).alias("doc"))
 
 
-def write_map_documents(maps: DataFrame, path: str, span: int = 1000, combined: bool = False) -> None:
+def write_map_documents(maps: DataFrame, path: str, span: int = 1000, combined: bool = False, tasks: int | None = None) -> None:
     """One folder of documents per cluster and map name; ``combined`` adds a folder holding all of them.
     Maps without rows write nothing."""
-    docs = map_documents(maps, span).select("cluster_id", "map_name", "doc")
+    docs = map_documents(maps, span, tasks).select("cluster_id", "map_name", "doc")
     docs.write.partitionBy("cluster_id", "map_name").text(f"{path}/by_topic")
     if combined:
         docs.drop("map_name").write.partitionBy("cluster_id").text(f"{path}/combined")
