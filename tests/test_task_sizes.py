@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from replicalens.operators import aggregates as G
+from replicalens.plans import relocation
 from replicalens.sources import adapters
 
 N = 3000
@@ -59,3 +60,14 @@ def test_pairs_of_a_replica_set_are_made_once(spark):
     assert G.edges(m.filter("partition_id < 3")).count() == 10 + 2
     assert {r.broker_id: r.degree for r in G.degrees(m.filter("partition_id < 4")).collect()} == {1: 3, 2: 4, 3: 3, 4: 3, 5: 1, 9: 0}
     assert {r.broker_id: r.degree for r in G.degrees(m).collect()} == {1: 4, 2: 4, 3: 3, 4: 3, 5: 1, 9: 0, None: 1}  # an open slot counts as one broker
+
+
+def test_offers_carry_one_spare_and_not_every_open_broker(spark):
+    cands = spark.createDataFrame([("c", "t", 0, 1, 100, 1, [(1, "a")])], "cluster_id string, topic string, partition_id bigint, src bigint, size_bytes bigint, rank bigint, "
+                                  "rs array<struct<broker_id: bigint, rack: string>>")
+    rows = [("c", 0.5, 1, "a", 100, True, False, 0, None, 8, 1000.0)] + [("c", 0.5, b, f"r{b}", 2000 + b, False, False, 0, b - 2, 8, 1000.0) for b in range(2, 10)]
+    brokers = spark.createDataFrame(rows, "cluster_id string, tolerance double, broker_id bigint, rack string, free bigint, is_source boolean, is_closed boolean, "
+                                    "moved bigint, number bigint, numbers bigint, mean double")
+    offers = relocation._offers(cands, brokers, relocation._rooms(brokers, False), None, 30, False, 3)
+    assert not [c for c, kind in offers.dtypes if kind.startswith("array<struct")]
+    assert offers.first().spare.dst in (7, 8, 9)  # the freest three of racks that the list does not use
