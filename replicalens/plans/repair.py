@@ -8,11 +8,11 @@ go through a ring of brokers: among as many neighbours as the set has members pl
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from replicalens.functions.arrays import to_partition_map
-from replicalens.operators.windows import ranked, top_k
+from replicalens.operators.windows import top_k
 from replicalens.plans.lines import hash_bucket, locate, prefix_sums
 from replicalens.schemas import PARTITION_KEY
 from replicalens.session import materialize
@@ -84,74 +84,119 @@ def repair(partition_map: DataFrame, state: DataFrame, *, strategy: str = "count
 
 
 def within_room(placed: DataFrame, room: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split ``placed`` (.., idx, broker_id, z, h, hb) into rows that fit their broker's ``free`` storage together, in md5 order, and the rest."""
-    laid = prefix_sums(placed, ["cluster_id", "broker_id"], ["hb"], ["h", "topic", "partition_id", "idx"], {"before": F.col("z")}).join(
-        room.select("cluster_id", "broker_id", "free"), ["cluster_id", "broker_id"], "left")
-    laid = materialize(laid.withColumn("fits", F.coalesce(F.col("before") + F.col("z") <= F.col("free"), F.lit(False))), "within-room")
+    """Split ``placed`` (.., idx, broker_id, z, h, hb) into rows that fit their broker's ``free`` storage together, in md5 order, and the rest.
+
+    Only the rows of brokers that cannot hold all of theirs are put in order. ``placed`` is read several times, so pass a materialized table.
+    """
+    key = ["cluster_id", "broker_id"]
+    room = room.select(*key, "free")
+    one = room.groupBy(*key).agg(F.min("free").alias("free"), F.count(F.lit(1)).alias("n"))
+    tight = placed.groupBy(*key).agg(F.sum("z").alias("load")).join(one, key, "left").filter("free is null or n > 1 or load > free")
+    tight = materialize(tight.select(*key), "room-tight")
+    ample = placed.filter("cluster_id is not null and broker_id is not null")
+    if tight.isEmpty():
+        return ample, ample.limit(0)
+    laid = prefix_sums(placed.join(tight, key, "left_semi"), key, ["hb"], ["h", "topic", "partition_id", "idx"], {"before": F.col("z")}).join(room, key, "left")
+    laid = laid.select(*placed.columns, F.coalesce(F.col("before") + F.col("z") <= F.col("free"), F.lit(False)).alias("fits"))
+    laid = materialize(laid.unionByName(ample.join(tight, key, "left_anti").withColumn("fits", F.lit(True))), "within-room")
     return laid.filter("fits").select(*placed.columns), laid.filter("not fits").select(*placed.columns)
 
 
+def _size_class(c: str) -> Column:
+    """Quarters of the doublings of a positive size, rising with it."""
+    return F.expr(f"cast(4 * length(bin({c})) + (shiftright({c}, greatest(length(bin({c})) - 3, 0)) & 3) as int)")
+
+
+def _seats(room: DataFrame, min_racks: int, scales: int, reach: int) -> tuple[DataFrame, DataFrame]:
+    """Where ``fill`` draws from: (numbered brokers, one row per cluster and kind with the numbers' limits and the freest groups).
+
+    On scale s a group shows its 16^s freest brokers, so the first scale shows one broker of every group and the last one shows all. Brokers
+    are numbered from 0 per scale by falling size class, and ``limits[s][c]`` is the count of those of class c or more.
+    """
+    own = F.concat(F.lit("#"), F.col("broker_id").cast("string"))
+    usable = room.filter("free > 0")
+    pool = usable.withColumns({"kind": F.lit("apart"), "grp": F.when(F.col("rack") == "", own).otherwise(F.col("rack"))})
+    if min_racks > 0:
+        pool = pool.unionByName(usable.withColumns({"kind": F.lit("any"), "grp": own}))
+    mixed = F.lpad(F.pmod(F.xxhash64("broker_id"), F.lit(100)).cast("string"), 2, "0")
+    pool = materialize(pool.withColumn("class", _size_class("free")).withColumn(
+        "late", F.concat(F.lpad((255 - F.col("class")).cast("string"), 3, "0"), mixed)), "fill-pool")
+    line, group = ["cluster_id", "kind"], ["cluster_id", "kind", "grp"]
+    inside = prefix_sums(pool, group, ["late"], ["broker_id"], {"place": F.lit(1)})
+    shown = materialize(inside.withColumn("scale", F.explode(F.expr(
+        f"sequence(least({scales}, cast(ceil(log(16, place + 1)) as int)), {scales})"))).drop("place"), "fill-shown")
+    seats = prefix_sums(shown, [*line, "scale"], ["late"], ["broker_id"], {"number": F.lit(1)}).drop("late", "class")
+    counts = shown.groupBy(*line, "scale", "class").agg(F.count(F.lit(1)).alias("n"))
+    limits = counts.groupBy(*line, "scale").agg(F.collect_list(F.struct("class", "n")).alias("c")).groupBy(*line).agg(F.map_from_entries(F.collect_list(
+        F.struct("scale", F.expr("transform(sequence(0, 255), i -> aggregate(filter(c, x -> x.class >= i), 0L, (a, x) -> a + x.n))")))).alias("limits"))
+    freest = pool.groupBy(*group).agg(F.max(F.struct("free", "broker_id", "rack")).alias("b")).select(*group, "b.*")
+    top = top_k(freest, line, [F.col("free").desc(), F.col("grp")], reach, "place")
+    offers = top.groupBy(*line).agg(F.array_sort(F.collect_list(F.struct("place", "grp", "free", "broker_id", "rack"))).alias("offers"))
+    return seats, materialize(limits.join(offers, line), "fill-limits")
+
+
 def fill(held: DataFrame, left: DataFrame, room: DataFrame, min_racks: int = 0) -> tuple[DataFrame, DataFrame]:
     """Place open slots ``left`` (.., idx, z, h, hb) on brokers with ``free`` storage of at least z until no slot has such a broker.
 
-    Returns (new replica rows, slots still open). ``held`` are the replica rows there are. A round takes one slot of each partition and draws
-    one of its allowed groups: a rack the list does not use, a broker without rack, or any broker once ``min_racks`` racks are present. A list
-    rules out no more groups than it is long, so that many groups and one, with the freest brokers first, always hold an allowed one. In a
-    group the slot draws one of the brokers that can hold it; each broker then accepts what fits together, one slot at least.
+    Returns (new replica rows, slots still open). ``held`` are the replica rows there are. A round takes one slot of each partition, which asks
+    a broker of an allowed group: a rack the list does not use, a broker without rack, or any broker once ``min_racks`` racks are present. It
+    draws some among all brokers of its size or more, and takes the first allowed one. If none is, it asks one of the freest groups: a list
+    rules out no more groups than it is long, so that many groups and one, with the freest brokers first, always hold an allowed one. Each broker
+    accepts what fits together, the largest first, one slot at least. Storage only shrinks and lists only grow, so a slot that finds no
+    broker is not asked for again. As brokers of all groups are asked in each round, the rounds do not grow with their number.
     """
     own = F.concat(F.lit("#"), F.col("broker_id").cast("string"))
+    none = F.array().cast("array<string>")
     room = materialize(room.withColumn("rack", F.coalesce("rack", F.lit(""))), "fill-room")
     left = materialize(left, "fill-left")
-    held = materialize(held.select(*PARTITION_KEY, "broker_id").filter("broker_id is not null").join(
-        left.select(*PARTITION_KEY).distinct(), PARTITION_KEY, "left_semi"), "fill-held")
     racks = room.select("cluster_id", "broker_id", "rack")
-    new, turn = left.select(*PARTITION_KEY, "idx", F.lit(None).cast("bigint").alias("broker_id")).limit(0), 0
-    while not left.isEmpty():
-        sets = held.join(racks, ["cluster_id", "broker_id"], "left").groupBy(*PARTITION_KEY).agg(
-            F.collect_set(own).alias("ids"), F.collect_set(F.when(F.col("rack") != "", F.col("rack"))).alias("racks"))
-        none = F.array().cast("array<string>")
-        one = left.groupBy(*PARTITION_KEY).agg(F.min(F.struct("idx", "z", "h", "hb")).alias("s")).select(*PARTITION_KEY, "s.*")
-        one = one.join(sets, PARTITION_KEY, "left").withColumns({"ids": F.coalesce("ids", none), "racks": F.coalesce("racks", none)})
+    sets = held.select(*PARTITION_KEY, "broker_id").filter("broker_id is not null").join(
+        left.select(*PARTITION_KEY).distinct(), PARTITION_KEY, "left_semi").join(racks, ["cluster_id", "broker_id"], "left").groupBy(*PARTITION_KEY).agg(
+        F.collect_set(own).alias("ids"), F.collect_set(F.when(F.col("rack") != "", F.col("rack"))).alias("racks"))
+    work = left.groupBy(*PARTITION_KEY, "idx").agg(F.min("z").alias("z")).groupBy(*PARTITION_KEY).agg(
+        F.array_sort(F.collect_list(F.struct("idx", "z"))).alias("open")).join(sets, PARTITION_KEY, "left")
+    work = materialize(work.withColumns({"ids": F.coalesce("ids", none), "racks": F.coalesce("racks", none)}), "fill-work")
+    new = left.select(*PARTITION_KEY, "idx", F.lit(None).cast("bigint").alias("broker_id")).limit(0)
+    reach = work.agg(F.max(F.size("ids") + F.size("open"))).first()[0]
+    if reach is None:
+        return new, left
+    most = room.filter("rack <> ''").groupBy("cluster_id", "rack").count().agg(F.max("count")).first()[0] or 1
+    scales = next(s for s in range(17) if 16 ** s >= most)
+    turn, asking = 0, True
+    while asking:
+        seats, limits = _seats(room, min_racks, scales, reach)
         kind = F.when((F.lit(min_racks) > 0) & (F.size("racks") >= min_racks), "any").otherwise("apart")
-        one = materialize(one.withColumn("kind", kind), "fill-asks")
-        reach = one.agg(F.max(F.size("ids"))).first()[0] + 1
-
-        usable = room.filter("free > 0")
-        pool = usable.select("cluster_id", F.lit("apart").alias("kind"), F.when(F.col("rack") == "", own).otherwise(F.col("rack")).alias("grp"), "broker_id", "free")
-        if min_racks > 0:
-            pool = pool.unionByName(usable.select("cluster_id", F.lit("any").alias("kind"), own.alias("grp"), "broker_id", "free"))
-        line = ["cluster_id", "kind", "grp"]
-        top = materialize(top_k(pool.groupBy(*line).agg(F.max("free").alias("most")), ["cluster_id", "kind"],
-                                [F.col("most").desc(), F.col("grp")], reach, "place"), "fill-groups")
-        offers = top.groupBy("cluster_id", "kind").agg(F.array_sort(F.collect_list(F.struct("grp", "most"))).alias("offers"))
-        used = F.array_union("ids", F.when(F.col("kind") == "any", none).otherwise(F.col("racks")))
-        asked = one.join(offers, ["cluster_id", "kind"]).withColumn("used", used).withColumn(
-            "offers", F.expr("filter(offers, x -> x.most >= z and not array_contains(used, x.grp))")).filter("size(offers) > 0")
-        draw = lambda n, what: F.pmod(F.xxhash64(*PARTITION_KEY, "idx", F.lit(turn), F.lit(what)), n)
-        asked = asked.withColumn("grp", F.expr("offers.grp")[draw(F.size("offers"), "group").cast("int")])
-        asked = materialize(asked.select(*PARTITION_KEY, "idx", "z", "h", "hb", "kind", "grp"), "fill-asked")
-        if asked.isEmpty():
-            break
-
-        # Brokers of a group by free storage: those that hold z are the first m, found by locating z between their storages.
-        members = materialize(ranked(pool.join(top.select(*line), line, "left_semi"), line, [F.col("free").desc(), F.col("broker_id")], "m"), "fill-brokers")
-        after = members.select(*line, (F.col("m") - 1).alias("m"), F.col("free").alias("next"))
-        dims = asked.groupBy(*line).agg(F.count(F.lit(1)).alias("n")).join(top, line).select(
-            *line, F.expr("greatest(1, most div greatest(1, n div 2000))").alias("width"))
-        steps = members.join(after, [*line, "m"], "left").join(dims, line).select(
-            *line, "m", "width", (F.coalesce("next", F.lit(0)) + 1).cast("bigint").alias("least"), (F.col("free") + 1).alias("most"))
-        found = locate(asked.join(dims, line), steps, line, "z", "least", "most", "width", ["m"])
-        chosen = found.withColumn("m", draw(F.col("m"), "broker") + 1).join(members.select(*line, "m", "broker_id"), [*line, "m"])
-        fits, _away = within_room(materialize(chosen.select(*PARTITION_KEY, "idx", "broker_id", "z", "h", "hb"), "fill-chosen"), room)
-
-        new = new.unionByName(fits.select(*PARTITION_KEY, "idx", "broker_id"))
-        held = materialize(held.unionByName(fits.select(*PARTITION_KEY, "broker_id")), "fill-held")
-        spent = fits.groupBy("cluster_id", "broker_id").agg(F.sum("z").alias("spent"))
-        room = materialize(room.join(spent, ["cluster_id", "broker_id"], "left").select(
-            "cluster_id", "broker_id", "rack", (F.col("free") - F.coalesce("spent", F.lit(0))).alias("free")), "fill-room")
-        left = materialize(left.join(fits.select(*PARTITION_KEY, "idx"), [*PARTITION_KEY, "idx"], "left_anti"), "fill-left")
-        turn += 1
-    return new, left
+        asks = work.withColumn("kind", kind).withColumns({
+            "idx": F.expr("open[0].idx"), "z": F.expr("open[0].z"), "used": F.array_union("ids", F.when(F.col("kind") == "any", none).otherwise(F.col("racks")))})
+        asks = asks.withColumn("class", _size_class("z")).join(limits, ["cluster_id", "kind"])
+        asks = asks.withColumn("offers", F.expr("filter(offers, x -> x.free >= z and not array_contains(used, x.grp))")).filter("size(offers) > 0")
+        hashed = lambda what: F.xxhash64(*PARTITION_KEY, "idx", F.lit(f"{what}{turn}"))  # noqa: E731  (text is no part of generated code, which rounds share)
+        # Two draws among all brokers, two on any scale, for lists whose groups have most of the brokers.
+        scale = [F.lit(scales), F.lit(scales), *[F.pmod(hashed(f"scale{i}:"), F.lit(scales + 1)).cast("int") for i in range(2)]]
+        draws = F.array(*[F.struct(F.lit(i).alias("draw"), s.alias("scale"), F.pmod(hashed(f"draw{i}:"), F.col("limits")[s][F.col("class")]).alias("number"))
+                          for i, s in enumerate(scale)])
+        drawn = asks.select(*PARTITION_KEY, "kind", "z", "used", F.explode(draws).alias("d")).select("*", "d.*").drop("d").join(
+            seats, ["cluster_id", "kind", "scale", "number"]).filter("free >= z and not array_contains(used, grp)")
+        drawn = drawn.groupBy(*PARTITION_KEY).agg(F.min(F.struct("draw", "broker_id", "rack")).alias("pick"))
+        offer = F.col("offers")[F.pmod(hashed("offer:"), F.size("offers")).cast("int")]
+        pick = lambda c: F.coalesce(F.col(f"pick.{c}"), offer[c]).alias(c)
+        h = F.hex(hashed("order:"))
+        chosen = asks.join(drawn, PARTITION_KEY, "left").select(
+            *PARTITION_KEY, "open", "ids", "racks", "idx", "z", pick("broker_id"), pick("rack"), h.alias("h"),
+            F.concat(F.lpad((255 - F.col("class")).cast("string"), 3, "0"), hash_bucket(h, 2)).alias("hb"))
+        chosen = materialize(chosen, "fill-chosen")
+        asking = not chosen.isEmpty()
+        if asking:
+            fits, away = within_room(chosen, room)
+            new = new.unionByName(fits.select(*PARTITION_KEY, "idx", "broker_id"))
+            grown = fits.withColumns({"open": F.expr("slice(open, 2, size(open))"), "ids": F.array_union("ids", F.array(own)),
+                                      "racks": F.when(F.col("rack") == "", F.col("racks")).otherwise(F.array_union("racks", F.array("rack")))})
+            work = grown.filter("size(open) > 0").unionByName(away).select(*PARTITION_KEY, "open", "ids", "racks")
+            spent = fits.groupBy("cluster_id", "broker_id").agg(F.sum("z").alias("spent"))
+            room = materialize(room.join(spent, ["cluster_id", "broker_id"], "left").select(
+                "cluster_id", "broker_id", "rack", (F.col("free") - F.coalesce("spent", F.lit(0))).alias("free")), "fill-room")
+            turn += 1
+    return new, left.join(new, [*PARTITION_KEY, "idx"], "left_anti")
 
 
 def _pass(partition_map: DataFrame, state: DataFrame, strategy: str, sizes: DataFrame | None, size_factor: float,

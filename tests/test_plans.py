@@ -282,6 +282,33 @@ def test_repair_reaches_the_only_broker_that_holds_a_slot(spark):
     assert errors.isEmpty() and {(r.cluster_id, r.broker_id) for r in rows.collect()} == {(f"c{i}", 1) for i in range(12)}
 
 
+def test_rounds_of_filling_do_not_grow_with_brokers_without_rack(spark, monkeypatch):
+    rounds, write = [], repair.materialize
+    monkeypatch.setattr(repair, "materialize", lambda df, name: (rounds.append(name), write(df, name))[1])
+    left = spark.range(80).selectExpr("'c' as cluster_id", "'t' as topic", "id div 2 as partition_id", "cast(id % 2 as int) as idx", "100 + id div 2 as z",
+                                      "md5(string(id)) as h", "substring(md5(string(id)), 1, 3) as hb")
+    room = spark.range(30).selectExpr("'c' as cluster_id", "id as broker_id", "if(id < 3, 'r', cast(null as string)) as rack", "145L + id as free")
+    held = left.selectExpr("cluster_id", "topic", "partition_id", "0L as broker_id").distinct()
+    new, still = repair.fill(held, left, room)
+    rows = new.collect()
+    # Broker 0 holds a replica of every partition, so its rack is closed; each other broker holds one slot.
+    assert len({r.broker_id for r in rows}) == len(rows) == 27 and min(r.broker_id for r in rows) == 3 and still.count() == 53
+    assert len({(r.partition_id, r.broker_id) for r in rows}) == 27
+    assert rounds.count("fill-chosen") <= 15
+
+
+def test_room_is_dealt_in_order_only_where_it_is_short(spark):
+    placed = spark.range(90).selectExpr("if(id = 89, cast(null as string), 'c') as cluster_id", "'t' as topic", "id as partition_id", "0 as idx", "id % 3 as broker_id", "10L as z",
+                                        "md5(string(id)) as h", "substring(md5(string(id)), 1, 3) as hb")
+    room = spark.createDataFrame([("c", 0, 300), ("c", 1, 55)], "cluster_id string, broker_id bigint, free bigint")
+    fits, away = repair.within_room(placed, room)
+    count = lambda df: {(r.broker_id, r.n) for r in df.groupBy("broker_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert count(fits) == {(0, 30), (1, 5)} and count(away) == {(1, 25), (2, 29)}
+    assert max(r.h for r in fits.filter("broker_id = 1").collect()) < min(r.h for r in away.filter("broker_id = 1").collect())
+    ample, none = repair.within_room(placed, room.withColumn("free", F.lit(1000)).unionByName(room.limit(1).selectExpr("cluster_id", "2L as broker_id", "1000L as free")))
+    assert ample.count() == 89 and none.isEmpty()
+
+
 def test_leadership_goes_on_until_no_hand_over_is_left(spark):
     m = spark.range(300).selectExpr("'c' as cluster_id", "'t' as topic", "id as partition_id", "array(0L, 1 + id % 9, 1 + (id + 4) % 9) as replicas")
     out = leadership.balance_leaders(m).cache()
