@@ -102,19 +102,21 @@ from held join fx_broker_meta using (cluster_id, broker_id) group by optimizatio
 def _(t):
     # How unevenly brokers are filled, in thousandths of their free storage: by partitions of the largest size class, and by all.
     ample = t.broker_meta.withColumn("storage_free", F.col("storage_free") * 1000000)
-    size = t.partition_size.select(*PARTITION_KEY, "size_bytes", F.length(F.bin("size_bytes")).alias("class"))
+    size = materialize(t.partition_size, "spread-sizes")
+    parts = size
+    size = size.withColumn("class", F.length(F.bin("size_bytes")))
     size = size.join(size.groupBy("cluster_id").agg(F.max("class").alias("top")), "cluster_id")
-    out = None
+    both = None
     for optimization in ("storage", "distribution"):
-        placed, _errors = placement.place(t.partition_size, ample, 3, strategy="storage", optimization=optimization)
-        held = placed.join(size, PARTITION_KEY).groupBy("cluster_id", "broker_id").agg(
-            F.sum(F.when(F.col("class") == F.col("top"), F.col("size_bytes"))).alias("large"), F.sum("size_bytes").alias("bytes")).join(
-            t.broker_meta.select("cluster_id", "broker_id", "storage_free"), ["cluster_id", "broker_id"])
-        share = lambda c: F.expr(f"coalesce({c}, 0) * 1000 div storage_free")
-        one = held.groupBy("cluster_id").agg((F.max(share("large")) - F.min(share("large"))).alias("large_spread"), (F.max(share("bytes")) - F.min(share("bytes"))).alias("spread"))
-        one = one.select(F.lit(optimization).alias("optimization"), "cluster_id", "large_spread", "spread")
-        out = one if out is None else out.unionByName(one)
-    return out
+        placed, _errors = placement.place(parts, ample, 3, strategy="storage", optimization=optimization)
+        placed = placed.withColumn("optimization", F.lit(optimization))
+        both = placed if both is None else both.unionByName(placed)
+    per = ["optimization", "cluster_id"]
+    held = both.join(size, PARTITION_KEY).groupBy(*per, "broker_id").agg(
+        F.sum(F.when(F.col("class") == F.col("top"), F.col("size_bytes"))).alias("large"), F.sum("size_bytes").alias("bytes")).join(
+        t.broker_meta.select("cluster_id", "broker_id", "storage_free"), ["cluster_id", "broker_id"])
+    share = lambda c: F.expr(f"coalesce({c}, 0) * 1000 div storage_free")
+    return held.groupBy(*per).agg((F.max(share("large")) - F.min(share("large"))).alias("large_spread"), (F.max(share("bytes")) - F.min(share("bytes"))).alias("spread"))
 
 
 def room_summary(t, st, placed, errors, rf):

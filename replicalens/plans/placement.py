@@ -118,8 +118,9 @@ def place(partitions: DataFrame, brokers: DataFrame, rf: int, *, strategy: str =
         partitions = partitions.filter("size_bytes is not null")
     layered = strategy == "storage" and optimization == "storage"
     klass = F.length(F.bin(z)) if layered else F.lit(0)
-    bucket = F.concat(F.lpad((64 - klass).cast("string"), 2, "0"), hash_bucket(h)) if layered else hash_bucket(h)
-    parts = materialize(partitions.select(*PARTITION_KEY, z.alias("z"), h.alias("h"), klass.alias("class"), bucket.alias("hb")), "placement-parts")
+    bucket = lambda c: F.concat(F.lpad((64 - c).cast("string"), 2, "0"), hash_bucket(h)) if layered else hash_bucket(h)
+    # As bytes, half as long as its digits and in the same order.
+    parts = materialize(partitions.select(*PARTITION_KEY, z.alias("z"), F.unhex(h).alias("h"), klass.alias("class"), bucket(klass).alias("hb")), "placement-parts")
     groups = materialize(broker_groups(brokers.withColumn("capacity", cap), rf, min_racks), "placement-groups")
     line = parts.groupBy("cluster_id").agg(F.sum("z").alias("z_total"), F.count(F.lit(1)).alias("n"))
     cells = f"greatest(1, least({MAX_CELLS}, n * {rf} div {SLOTS_PER_CELL}))"
@@ -134,17 +135,25 @@ def place(partitions: DataFrame, brokers: DataFrame, rf: int, *, strategy: str =
              .select(*PARTITION_KEY, "ordinal", "z", "at", "z_total", "z_class", "z_larger", "width",
                      F.explode(F.sequence(F.lit(0), F.lit(rf - 1))).alias("k"))
              .withColumn("pos", F.expr("cast((cast(2 * (at - z_larger) + z as decimal(38,0)) * z_total) div z_class as bigint) + 2 * k * z_total"))
-             .select(*PARTITION_KEY, "ordinal", "k", "pos", "width"))
+             .select(*PARTITION_KEY, "ordinal", "z", "k", "pos", "width"))
     hit = locate(slots, broker_segments(groups, line, rf), ["cluster_id"], "pos", "seg_start", "seg_end", "width", ["broker_id"])
-    placed = hit.select(*PARTITION_KEY, F.pmod(F.col("k") + F.col("ordinal"), F.lit(rf)).cast("int").alias("idx"), "broker_id")
+    placed = hit.select(*PARTITION_KEY, F.pmod(F.col("k") + F.col("ordinal"), F.lit(rf)).cast("int").alias("idx"), "broker_id", "z")
     errors = parts.join(ok, "cluster_id", "left_anti").select(*PARTITION_KEY, F.lit(_NO_BROKER).alias("error")).unionByName(unsized)
     if strategy == "count":
-        return placed, errors
-    sized = materialize(placed.join(parts, PARTITION_KEY), "placement-laid")
+        return placed.drop("z"), errors
+    # Sizes go along the line with their slots; only where a key comes twice do its slots meet the sizes of all its rows. The md5 order
+    # follows from key and size, so it is not written.
+    slot = [*PARTITION_KEY, "idx", "broker_id"]
+    if parts.groupBy(*PARTITION_KEY).count().filter("count > 1").isEmpty():
+        sized = placed.filter(" and ".join(f"{c} is not null" for c in PARTITION_KEY))
+    else:
+        sized = placed.drop("z").join(parts.select(*PARTITION_KEY, "z"), PARTITION_KEY)
+    klass = F.length(F.bin("z")) if layered else F.lit(0)
+    sized = materialize(sized.select(*slot, "z"), "placement-laid").withColumns({"h": h, "hb": bucket(klass)})
     room = brokers.select("cluster_id", "broker_id", "rack", F.col("storage_free").cast("bigint").alias("free"))
     fits, away = within_room(sized, room)
     spent = fits.groupBy("cluster_id", "broker_id").agg(F.sum("z").alias("spent"))
     room = room.join(spent, ["cluster_id", "broker_id"], "left").withColumn("free", F.col("free") - F.coalesce("spent", F.lit(0)))
-    placed = fits.select(*PARTITION_KEY, "idx", "broker_id")
+    placed = fits.select(*slot)
     more, left = fill(placed, away.select(*PARTITION_KEY, "idx", "z", "h", "hb"), room.drop("spent"), min_racks)
     return placed.unionByName(more), errors.unionByName(left.select(*PARTITION_KEY, F.lit(_NO_BROKER).alias("error")))
