@@ -8,7 +8,7 @@ from replicalens.catalog.adapter_sql import add_adapters
 from replicalens.catalog.aggregates import meta_after, moves
 from replicalens.catalog.base import query
 from replicalens.catalog.filters import merged, state
-from replicalens.functions.arrays import render, set_replication, to_partition_map
+from replicalens.functions.arrays import render, set_replication, to_partition_map, to_replicas
 from replicalens.operators import aggregates as A
 from replicalens.operators.windows import top_k
 from replicalens.plans import affinity, constraints, leadership, maps, placement, relocation, repair
@@ -24,8 +24,8 @@ from fx_broker_meta left join (select cluster_id, broker_id, count(*) as used fr
 })
 
 
-def plan_state(t):
-    used = t.replicas.groupBy("cluster_id", "broker_id").agg(F.count(F.lit(1)).alias("used"))
+def plan_state(t, replicas=None):
+    used = (t.replicas if replicas is None else replicas).groupBy("cluster_id", "broker_id").agg(F.count(F.lit(1)).alias("used"))
     b = F.col("broker_id")
     return t.broker_meta.join(used, ["cluster_id", "broker_id"], "left").select(
         "cluster_id", "broker_id", "rack", F.coalesce("used", F.lit(0)).alias("used"),
@@ -181,26 +181,40 @@ select p.cluster_id, count(*) as partitions, cast(sum(n) as bigint) as slots, ca
 from p join c using (cluster_id) group by p.cluster_id"""
 
 
-def repair_summary(t, rows, errors, min_racks):
-    """What repair promises, counted over the whole map."""
-    st = plan_state(t).select("cluster_id", "broker_id", "rack", "is_replace")
-    rows = materialize(rows, "repaired")
-    old = t.replicas.join(st, ["cluster_id", "broker_id"]).select(
-        *PARTITION_KEY, "idx", F.col("broker_id").alias("old"), F.col("is_replace").alias("open"))
-    j = old.join(rows, [*PARTITION_KEY, "idx"], "left").join(st.select("cluster_id", "broker_id", "rack"), ["cluster_id", "broker_id"], "left")
-    new_rack = F.when(F.col("open") & (F.col("rack") != ""), F.col("rack"))
-    any_rack = F.when(F.col("rack") != "", F.col("rack"))
-    kept_rack = F.when(~F.col("open") & (F.col("rack") != ""), F.col("rack"))
-    per = j.groupBy(*PARTITION_KEY).agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("open"), 1)).alias("n_open"),
-        (F.count("broker_id") - F.size(F.collect_set("broker_id"))).alias("rep"),
-        F.count(F.when(~F.col("open") & ~F.col("old").eqNullSafe(F.col("broker_id")), 1)).alias("moved"),
-        (F.count(new_rack) - F.size(F.array_except(F.collect_set(new_rack), F.collect_set(kept_rack)))).alias("clash"),
-        F.size(F.collect_set(any_rack)).alias("racks"))
+def repair_input(t):
+    """The map and the planning state, each computed once."""
+    held = materialize(t.partition_map, "repair-map")
+    return held, materialize(plan_state(t, to_replicas(held)), "repair-input-state")
+
+
+def repair_summary(held, st, rows, errors, min_racks):
+    """What repair promises, counted over the whole map ``held`` and its planning state.
+
+    Old and repaired slots of a partition meet in one shuffle, and are matched by position inside their lists, which replication bounds.
+    """
+    brokers = st.select("cluster_id", "broker_id", "rack", "is_replace")
+    old = to_replicas(held).join(brokers, ["cluster_id", "broker_id"]).select(
+        *PARTITION_KEY, F.struct("idx", F.col("broker_id").alias("old"), F.col("is_replace").alias("open")).alias("was"))
+    now = rows.join(brokers.drop("is_replace"), ["cluster_id", "broker_id"], "left").select(*PARTITION_KEY, F.struct("idx", "broker_id", "rack").alias("now"))
+    sets = old.unionByName(now, allowMissingColumns=True).groupBy(*PARTITION_KEY).agg(F.collect_list("was").alias("was"), F.collect_list("now").alias("now"))
+    # A slot without repaired rows stays as one without broker. Null keys meet no repaired row.
+    whole = " and ".join(f"{c} is not null" for c in PARTITION_KEY)
+    met = f"transform(was, o -> struct(o, if({whole}, filter(now, n -> n.idx = o.idx), slice(now, 1, 0)) as m))"
+    none = "array(cast(null as struct<idx:int,broker_id:bigint,rack:string>))"
+    j = sets.filter("size(was) > 0").select("cluster_id", F.expr(met).alias("met")).select("cluster_id", F.expr(f"""flatten(transform(met, x -> transform(
+        if(size(x.m) = 0, {none}, x.m), n -> struct(x.o.old, x.o.open, n.broker_id, n.rack))))""").alias("j"))
+    new_rack = "transform(filter(j, x -> x.open and x.rack <> ''), x -> x.rack)"
+    kept_rack = "transform(filter(j, x -> not x.open and x.rack <> ''), x -> x.rack)"
+    per = j.select(
+        "cluster_id", F.expr("cast(size(j) as bigint) as n"), F.expr("cast(size(filter(j, x -> x.open)) as bigint) as n_open"),
+        F.expr("size(filter(j, x -> x.broker_id is not null)) - size(array_distinct(filter(transform(j, x -> x.broker_id), x -> x is not null))) as rep"),
+        F.expr("size(filter(j, x -> not x.open and not (x.old <=> x.broker_id))) as moved"),
+        F.expr(f"size({new_rack}) - size(array_except({new_rack}, {kept_rack})) as clash"),
+        F.expr("size(array_distinct(transform(filter(j, x -> x.rack <> ''), x -> x.rack))) as racks"))
     clash = F.sum("clash") if min_racks == 0 else F.count(F.when((F.col("clash") > 0) & (F.col("racks") < min_racks), 1))
     out = per.groupBy("cluster_id").agg(
         F.count(F.lit(1)).alias("partitions"), F.sum("n").alias("slots"), F.sum("n_open").alias("open_slots"),
-        F.sum("rep").cast("bigint").alias("repeated_brokers"), clash.cast("bigint").alias("rack_clashes"), F.sum("moved").alias("moved_good"))
+        F.sum("rep").cast("bigint").alias("repeated_brokers"), clash.cast("bigint").alias("rack_clashes"), F.sum("moved").cast("bigint").alias("moved_good"))
     failed = errors.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("errors"))
     return out.join(failed, "cluster_id", "left").withColumn("errors", F.coalesce("errors", F.lit(0)))
 
@@ -208,19 +222,22 @@ def repair_summary(t, rows, errors, min_racks):
 @query("pln02_repair_invariants", REPAIR_SQL.format(
     errors="greatest(0, n_open - (racks - used_racks) - (unracked - used_unracked))", clashes="0::bigint"))
 def _(t):
-    rows, errors = repair.repair(t.partition_map, plan_state(t))
-    return repair_summary(t, rows, errors, 0)
+    held, st = repair_input(t)
+    rows, errors = repair.repair(held, st)
+    return repair_summary(held, st, rows, errors, 0)
 
 
 @query("pln02_repair_min_racks_invariants", REPAIR_SQL.format(errors="greatest(0, n - brokers)", clashes="0::bigint"))
 def _(t):
-    rows, errors = repair.repair(t.partition_map, plan_state(t), min_racks=2)
-    return repair_summary(t, rows, errors, 2)
+    held, st = repair_input(t)
+    rows, errors = repair.repair(held, st, min_racks=2)
+    return repair_summary(held, st, rows, errors, 2)
 
 
 @query("pln02_repair_placement")
 def _(t):
-    rows, _errors = repair.repair(t.partition_map, plan_state(t), strategy="storage", sizes=t.partition_size)
+    held, st = repair_input(t)
+    rows, _errors = repair.repair(held, st, strategy="storage", sizes=t.partition_size)
     return rows
 
 

@@ -211,11 +211,11 @@ def _pass(partition_map: DataFrame, state: DataFrame, strategy: str, sizes: Data
 
     # One row per partition with open slots; lists are bounded by the replication factor.
     h = F.md5(F.concat_ws(":", "topic", F.col("partition_id").cast("string")))
-    work = slots.groupBy(*PARTITION_KEY).agg(
-        F.array_sort(F.collect_list(F.when(~F.col("keep"), F.col("idx")))).alias("open"),
-        F.collect_list(F.when(F.col("keep"), F.col("b"))).alias("ids"),
-        F.array_distinct(F.collect_list(F.when(F.col("keep") & (F.col("brack") != ""), F.col("brack")))).alias("racks"),
-        F.count(F.when(F.col("keep") & (F.col("brack") == ""), 1)).alias("unracked")).filter("size(open) > 0")
+    work = slots.groupBy(*PARTITION_KEY).agg(F.collect_list(F.struct("idx", "b", "brack", "keep")).alias("s")).filter("exists(s, x -> not x.keep)").select(
+        *PARTITION_KEY, F.expr("array_sort(transform(filter(s, x -> not x.keep), x -> x.idx))").alias("open"),
+        F.expr("transform(filter(s, x -> x.keep), x -> x.b)").alias("ids"),
+        F.expr("array_distinct(transform(filter(s, x -> x.keep and x.brack <> ''), x -> x.brack))").alias("racks"),
+        F.expr("cast(size(filter(s, x -> x.keep and x.brack = '')) as bigint)").alias("unracked"))
     if strategy == "storage":
         z = F.greatest(F.ceil(F.col("size_bytes") * F.lit(size_factor)), F.lit(1)).cast("bigint")
         work = work.join(sizes.select(*PARTITION_KEY, "size_bytes"), PARTITION_KEY, "left").withColumn(

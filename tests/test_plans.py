@@ -7,9 +7,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from replicalens.catalog import plans as plan_queries
 from replicalens.functions.arrays import to_partition_map, to_replicas
 from replicalens.operators.aggregates import storage_stats
 from replicalens.plans import leadership, lines, maps, placement, relocation, repair
+from replicalens.sources.adapters import Tables
 
 STATE = ("cluster_id string, broker_id bigint, rack string, used bigint, storage_free bigint, is_replace boolean, "
          "is_missing boolean, is_new boolean")
@@ -309,6 +311,29 @@ def test_room_is_dealt_in_order_only_where_it_is_short(spark):
     assert ample.count() == 89 and none.isEmpty()
 
 
+def test_repair_checks_read_the_map_and_state_once_and_count_breaches(spark, tmp_path):
+    d = str(tmp_path)
+    spark.range(1, 9).selectExpr("id as o_orderkey", "'F' as o_orderstatus", "'1-URGENT' as o_orderpriority").write.parquet(f"{d}/orders.parquet")
+    spark.range(24).selectExpr("1 + id div 3 as l_orderkey", "id % 5 as l_suppkey", "cast(id % 3 as int) as l_linenumber", "'N' as l_returnflag",
+                               "10.0D as l_extendedprice").write.parquet(f"{d}/lineitem.parquet")
+    spark.range(12).selectExpr("id as s_suppkey", "string(id) as s_name", "int(id) as s_nationkey", "double(id) as s_acctbal").write.parquet(f"{d}/supplier.parquet")
+    spark.range(12).selectExpr("int(id) as n_nationkey", "int(id % 6) as n_regionkey").write.parquet(f"{d}/nation.parquet")
+    held, st = plan_queries.repair_input(Tables(spark, d))
+    assert not [f for df in (held, st) for f in df.inputFiles() if "lineitem" in f or "orders" in f]
+    assert {r.broker_id: r.used for r in st.filter("cluster_id = 'f' and used > 0").collect()} == {0: 5, 1: 5, 2: 5, 3: 5, 4: 4}
+    rows, errors = repair.repair(held, st)
+    good = plan_queries.repair_summary(held, st, rows, errors, 0).collect()
+    assert [(r.partitions, r.slots, r.open_slots, r.errors, r.repeated_brokers, r.rack_clashes, r.moved_good) for r in good] == [(8, 24, 4, 0, 0, 0, 0)]
+    # Every slot on broker 0: two repeats a partition, all good slots but broker 0's moved, and no row for the first position of partition 1.
+    bad = to_replicas(held).withColumn("broker_id", F.lit(0).cast("bigint")).filter("partition_id > 1 or idx > 0")
+    r = plan_queries.repair_summary(held, st, bad, errors, 0).first()
+    kept = to_replicas(held).filter("broker_id <> 4")
+    assert (r.slots, r.repeated_brokers) == (24, 15)
+    assert r.moved_good == kept.filter("broker_id <> 0").count() + kept.filter("broker_id = 0 and partition_id = 1 and idx = 0").count()
+    # Broker 0 is also what the good slots hold now, so every filled open slot repeats a rack.
+    assert r.rack_clashes == to_replicas(held).filter("broker_id = 4 and (partition_id > 1 or idx > 0)").count() == 4
+
+
 def test_leadership_goes_on_until_no_hand_over_is_left(spark):
     m = spark.range(300).selectExpr("'c' as cluster_id", "'t' as topic", "id as partition_id", "array(0L, 1 + id % 9, 1 + (id + 4) % 9) as replicas")
     out = leadership.balance_leaders(m).cache()
