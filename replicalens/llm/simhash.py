@@ -101,6 +101,9 @@ def links(fps: DataFrame, radius: int = 2, segments: int = 2, hot: int = 64, blo
     table of segment values. Matches are verified over all 64 bits. A value with more than ``hot`` fingerprints is not
     paired: its table and probe rows are dealt into blocks of about ``block``, every block pair is compared in one
     small matrix, and only stars of the links found are returned, so nothing is lost and no group's pairs are emitted.
+
+    Spark sizes a table after ``explode`` as before it, so probes are merged: broadcast by that size, some 17 times as many
+    rows would go through the driver. What probes and segments are looked up in otherwise is a written table, whose size is known.
     """
     if radius >= 2 * segments or 64 % segments:
         raise ValueError("radius must be below twice the number of segments, which must divide 64")
@@ -111,11 +114,11 @@ def links(fps: DataFrame, radius: int = 2, segments: int = 2, hot: int = 64, blo
     cold = table.join(crowded, ["seg", "val"], "left_anti").select("seg", "val", F.col("fp").alias("other"))
     near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius) & (~F.col("same") | (F.col("fp") < F.col("other")))
     p = probes.select(F.col("seg").alias("s"), F.col("val").alias("v"), "same", "fp")
-    pairs = p.join(cold, (F.col("s") == F.col("seg")) & (F.col("v") == F.col("val")) & near).select(F.col("fp").alias("a"), F.col("other").alias("b"))
+    pairs = p.hint("merge").join(cold, (F.col("s") == F.col("seg")) & (F.col("v") == F.col("val")) & near).select(F.col("fp").alias("a"), F.col("other").alias("b"))
 
     asked = materialize(probes.join(crowded.select("seg", "val"), ["seg", "val"]).select("seg", "val", "fp"), "crowded-probes")
-    sizes = asked.groupBy("seg", "val").agg(F.count(F.lit(1)).alias("m")).join(crowded, ["seg", "val"]).select(
-        "seg", "val", F.ceil(F.col("n") / block).cast("int").alias("tn"), F.ceil(F.col("m") / block).cast("int").alias("pn"))
+    sizes = materialize(asked.groupBy("seg", "val").agg(F.count(F.lit(1)).alias("m")).join(crowded, ["seg", "val"]).select(
+        "seg", "val", F.ceil(F.col("n") / block).cast("int").alias("tn"), F.ceil(F.col("m") / block).cast("int").alias("pn")), "crowded-sizes")
     deal = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     key = ["seg", "val", "tb", "pb"]
